@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillspark.llm import fingerprints, html_text, warc
+from quillspark.llm import fingerprints, html_text, quality, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.fingerprints,
+    "op4_toxicity": toxicity.classify,
     "op6_html": html_text.main_texts,
+    "op7_quality": quality.classify,
     "op8_warc": lambda spark, sf_dir: warc.round_trip(spark, sf_dir).drop("digest_ok"),
 }
 
