@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import fingerprints, html_text, quality, toxicity, warc
+from quillspark.llm import fingerprints, html_text, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.fingerprints,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_html": html_text.main_texts,
     "op7_quality": quality.classify,
     "op8_warc": lambda spark, sf_dir: warc.round_trip(spark, sf_dir).drop("digest_ok"),
+    "op10_secrets": secrets.find,
 }
 
 _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(5), lambda k: CAST(substr(
