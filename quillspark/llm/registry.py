@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillspark.llm import fingerprints, html_text, quality, secrets, toxicity, warc
+from quillspark.llm import decontamination, fingerprints, html_text, mixing, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.fingerprints,
+    "op3_decontamination": decontamination.leaks,
     "op4_toxicity": toxicity.classify,
+    "op5_mixing": mixing.plan,
     "op6_html": html_text.main_texts,
     "op7_quality": quality.classify,
     "op8_warc": lambda spark, sf_dir: warc.round_trip(spark, sf_dir).drop("digest_ok"),
@@ -18,6 +20,8 @@ _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFG
     5 * i + k + 1, 1) AS INTEGER) * (16 >> k))) AS INTEGER), 1)), '')"""
 
 ORACLES = {
+    "op3_decontamination": decontamination.ORACLE,
+    "op5_mixing": mixing.ORACLE,
     "op8_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
