@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontamination, fingerprints, html_text, mixing, quality, secrets, toxicity, warc
+from quillspark.llm import decontamination, fingerprints, html_text, mixing, ngram_join, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.fingerprints,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_html": html_text.main_texts,
     "op7_quality": quality.classify,
     "op8_warc": lambda spark, sf_dir: warc.round_trip(spark, sf_dir).drop("digest_ok"),
+    "op9_ngram_join": ngram_join.components_of_documents,
     "op10_secrets": secrets.find,
 }
 
@@ -20,6 +21,7 @@ _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFG
     5 * i + k + 1, 1) AS INTEGER) * (16 >> k))) AS INTEGER), 1)), '')"""
 
 ORACLES = {
+    "op9_ngram_join": ngram_join.ORACLE,
     "op3_decontamination": decontamination.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op8_warc": f"""
