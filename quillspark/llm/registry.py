@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontamination, fingerprints, html_text, mixing, ngram_join, quality, secrets, toxicity, warc
+from quillspark.llm import decontamination, fingerprints, html_text, mixing, ngram_join, quality, secrets, substrings, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.fingerprints,
+    "op2_substrings": substrings.deduplicate,
     "op3_decontamination": decontamination.leaks,
     "op4_toxicity": toxicity.classify,
     "op5_mixing": mixing.plan,
@@ -21,6 +22,7 @@ _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFG
     5 * i + k + 1, 1) AS INTEGER) * (16 >> k))) AS INTEGER), 1)), '')"""
 
 ORACLES = {
+    "op2_substrings": substrings.ORACLE,
     "op9_ngram_join": ngram_join.ORACLE,
     "op3_decontamination": decontamination.ORACLE,
     "op5_mixing": mixing.ORACLE,
