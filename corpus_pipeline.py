@@ -1,15 +1,58 @@
-"""Corpus pipeline over documents; see STAGES."""
+"""Corpus pipeline: documents to a mixed training set, one operator of quillspark.llm a stage.
+
+Each stage is (name, function of (spark, docs, sf_dir)); all but the last return the columns of
+documents. run() writes what a stage returns to the shared folder and reads it again, so that a
+stage's own passes over its input don't repeat the stages before.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quillspark.llm import decontamination, mixing, ngram_join, secrets, toxicity
+from quillspark.llm.common import free_shuffles, materialize, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the random field scores below one half."""
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each class of near copies: five-word shingles, Jaccard of 0.8 or more."""
+    return ngram_join.one_of_each(docs, n=5, percent=80)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mixture takes, with how often and in which block."""
+    return mixing.mix(docs).where("repeats > 0")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+]
+
+#: The toxicity model is fitted, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+        free_shuffles(spark)
+    return STAGES[-1][1](spark, docs, sf_dir)

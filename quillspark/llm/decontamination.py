@@ -99,10 +99,8 @@ def search(index: Index, words: W.Words, n: int, load: int, percent: int) -> Ite
         yield pair // m, pair % m, count
 
 
-def contained(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 80, load: int = 2, block_shingles: int = 1_000_000) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item, containment) of every pair in which at least percent per
-    cent of the item's distinct shingles are in the document."""
-    spark = docs.sparkSession
+def indexes(items: DataFrame, n: int = 5, load: int = 2, block_shingles: int = 1_000_000) -> Iterator[Index]:
+    """Indexes of bounded size that hold all items between them."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,6 +114,14 @@ def contained(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 80,
     sketches = materialize(rows.mapInArrow(shingle, "item_id long, shingles binary").where(F.length("shingles") > 0).distinct(), "items")
     total = sketches.agg(F.coalesce(F.sum(F.length("shingles")), F.lit(0))).first()[0] // 8
     blocks = max(1, -(-total // block_shingles))
+    for b in range(blocks):
+        mine = sketches.where(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == b).orderBy("item_id", "shingles").collect()
+        yield Index([-1 if r["item_id"] is None else r["item_id"] for r in mine], [np.frombuffer(bytes(r["shingles"]), np.uint64) for r in mine], load)
+
+
+def contained(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 80, load: int = 2, block_shingles: int = 1_000_000) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item, containment) of every pair in which at least percent per
+    cent of the item's distinct shingles are in the document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def against(index) -> DataFrame:
@@ -134,25 +140,36 @@ def contained(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 80,
         return texts.mapInArrow(run, _OUT)
 
     out = None
-    for b in range(blocks):  # each block's index is of bounded size
-        mine = sketches.where(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == b).orderBy("item_id", "shingles").collect()
-        index = Index([-1 if r["item_id"] is None else r["item_id"] for r in mine], [np.frombuffer(bytes(r["shingles"]), np.uint64) for r in mine], load)
-        found = against(spark.sparkContext.broadcast(index))
+    for index in indexes(items, n, load, block_shingles):
+        found = against(docs.sparkSession.sparkContext.broadcast(index))
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def clean(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 80, load: int = 2, block_shingles: int = 1_000_000) -> DataFrame:
+    """docs without those that contain an item; they are filtered where they lie."""
+
+    def test(index):
+        @F.arrow_udf("boolean")
+        def leaking(texts: pa.Array) -> pa.Array:
+            out = np.zeros(len(texts), bool)
+            for first, words in W.documents(texts):
+                for doc, _, _ in search(index.value, words, n, load, percent):
+                    out[first + doc] = True
+            return pa.array(out)
+
+        return leaking
+
+    for index in indexes(items, n, load, block_shingles):
+        docs = docs.where(~test(docs.sparkSession.sparkContext.broadcast(index))(F.col("text").cast("string")))
+    return docs
+
+
 def leaks(spark, sf_dir: str) -> DataFrame:
     """Query op3_decontamination: benchmark items found in documents."""
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that contain an item; rows with a null doc_id are kept."""
-    found = contained(docs, items).select(F.col("doc_id").alias("leaking_id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["leaking_id"], "left_anti")
-
-
 ORACLE = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
 wi AS (SELECT item_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM benchmark),

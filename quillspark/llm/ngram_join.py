@@ -255,6 +255,14 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     return base.join(named, "node", "left").select("doc_id", "n_shingles", F.when(linked, F.col("class_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """docs with the smallest doc_id of each class only; repeated rows of one doc_id and text become
+    one, rows with a null doc_id stay."""
+    dropped = join(docs, n, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("dropped_id")).distinct()
+    kept = docs.join(dropped, docs["doc_id"].cast("long") == dropped["dropped_id"], "left_anti")
+    return kept.withColumn("text_hash_of_row", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash_of_row"]).drop("text_hash_of_row")
+
+
 def components_of_documents(spark, sf_dir: str) -> DataFrame:
     """Query op9_ngram_join: similarity classes of all documents."""
     return join(table(spark, sf_dir, "documents"))

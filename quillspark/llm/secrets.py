@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, table
+from quillspark.llm.common import table
 
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -169,26 +169,57 @@ def _accepted(tokens: DataFrame, rate: float) -> dict[int, int]:
     return out
 
 
-def scan(docs: DataFrame, alpha: float = 0.01, rate: float = 0.05) -> DataFrame:
-    """(doc_id, base, random) of every row of docs (doc_id, text): arrays of struct(start, kind, end,
-    found), sorted by start, then kind; kind is the position in KINDS.
+def with_spans(docs: DataFrame, base: str, random: str, alpha: float = 0.01, rate: float = 0.05) -> DataFrame:
+    """docs (with a column text) with two more columns: arrays of struct(start, kind, end, found),
+    sorted by start, then kind; kind is the position in KINDS.
 
-    The texts are read once; what the false-discovery rule needs of all tokens is a histogram over
-    the spans that have been written to the shared folder."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    text = F.col("text")
+    A first pass over the texts makes the histogram that the false-discovery rule needs, a second one
+    the spans, where the rows lie: nothing is shuffled but histogram rows."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     assign = F.filter(spans(text, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= 12)
     access = F.filter(spans(text, ACCESS, 1), lambda s: F.length(s["found"]) >= 18)
-    rows = rows.select("doc_id", F.array_sort(F.concat(assign, access, spans(text, HEX, 2))).alias("base"), spans(text, TOKEN, 3).alias("tokens"))
-    tested = F.transform(
-        F.filter("tokens", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))),
-        lambda s: _bind(battery(s["found"]), lambda t: F.struct(s.alias("span"), t.alias("test"), _length_class(t["n"]).alias("length_class"), _bin(t["z_text"]).alias("bin"))),
-    )
-    rows = materialize(rows.select("doc_id", "base", F.filter(tested, lambda x: x["test"].isNotNull()).alias("tested")), "secrets")
-    accepted = _accepted(rows.select(F.explode("tested").alias("x")).select("x.length_class", "x.bin"), rate)
-    limit = F.create_map(*[F.lit(v) for pair in (accepted or {-1: 0}).items() for v in pair])
-    passing = F.filter("tested", lambda x: (x["test"]["p_random"] >= alpha) & (x["bin"] <= F.coalesce(F.try_element_at(limit, x["length_class"]), F.lit(-(10**6)))))
-    return rows.select("doc_id", "base", F.transform(passing, lambda x: x["span"]).alias("random"))
+    fixed = F.array_sort(F.concat(assign, access, spans(text, HEX, 2)))
+
+    def tested(base_spans: Column) -> Column:
+        candidates = F.filter(spans(text, TOKEN, 3), lambda s: ~F.exists(base_spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        results = F.transform(candidates, lambda s: _bind(battery(s["found"]), lambda t: F.struct(s.alias("span"), t.alias("test"), _length_class(t["n"]).alias("length_class"), _bin(t["z_text"]).alias("bin"))))
+        return F.filter(results, lambda x: x["test"].isNotNull())
+
+    tokens = docs.select(F.explode(_bind(fixed, tested)).alias("x")).select("x.length_class", "x.bin")
+    limit = F.create_map(*[F.lit(v) for pair in (_accepted(tokens, rate) or {-1: 0}).items() for v in pair])
+
+    def passing(base_spans: Column) -> Column:
+        kept = F.filter(tested(base_spans), lambda x: (x["test"]["p_random"] >= alpha) & (x["bin"] <= F.coalesce(F.try_element_at(limit, x["length_class"]), F.lit(-(10**6)))))
+        return F.struct(base_spans.alias("base"), F.transform(kept, lambda x: x["span"]).alias("random"))
+
+    rest = [c for c in docs.columns if c.lower() not in (base.lower(), random.lower())]
+    found = docs.select(*rest, _bind(fixed, passing).alias("_spans_found"))
+    return found.select(*rest, F.col("_spans_found.base").alias(base), F.col("_spans_found.random").alias(random))
+
+
+def scan(docs: DataFrame, alpha: float = 0.01, rate: float = 0.05) -> DataFrame:
+    """(doc_id, base, random) of every row of docs (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_spans(rows, "base", "random", alpha, rate).drop("text")
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """docs with every span, or run of overlapping ones, replaced by mark; n_chars follows the text."""
+    rows = with_spans(docs, "_base", "_random")
+    found = F.array_sort(F.concat("_base", "_random"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(state: Column, s: Column) -> Column:
+        piece = F.substring("text", (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
+        fresh = F.struct(s["end"].alias("at"), F.concat(state["parts"], F.array(piece, F.lit(mark))).alias("parts"))
+        return F.when(s["start"] >= state["at"], fresh).otherwise(F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["parts"].alias("parts")))
+
+    def finish(state: Column) -> Column:
+        return F.concat(F.array_join(state["parts"], ""), F.substring("text", (state["at"] + 1).cast("int"), F.length("text")))
+
+    text = F.when(F.size(found) > 0, F.aggregate(found, start, step, finish)).otherwise(F.col("text"))
+    changed = {"text": text} | ({"n_chars": F.when(F.size(found) > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return rows.withColumns(changed).select(*docs.columns)
 
 
 def digest(all_spans: Column) -> Column:

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
@@ -136,6 +136,10 @@ def evidence(marginal: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.log(-np.expm1(q)) - q
 
 
+def document_scores(model: dict[str, np.ndarray], marginal: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(model["line"][0] + model["line"][1] * np.clip(evidence(marginal, offsets), -12, 12), -35, 35)))
+
+
 def _marked(index: np.ndarray, doc: np.ndarray, toxic: np.ndarray, least_g2: float = 30.0, purity: float = 20.0) -> np.ndarray:
     """Words of toxic documents with a feature that marks them: its share of toxic documents is at
     least purity times that of others, and the likelihood ratio test against equal shares exceeds
@@ -255,7 +259,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], threshold: float = 0.5)
             _, byte_offsets = W.string_buffers(batch.column(2))
             for first, words in W.documents(batch.column(2), lower=True):
                 p = marginals(m["weights"][features(words)].sum(axis=1) + m["bias"][0], words.doc, m["transition"])
-                scores.append(1 / (1 + np.exp(-np.clip(m["line"][0] + m["line"][1] * np.clip(evidence(p, words.doc), -12, 12), -35, 35))))
+                scores.append(document_scores(m, p, words.doc))
                 origin = byte_offsets[first]
                 for i, found in _runs(p, words).items():
                     begin = byte_offsets[first + i] - origin
@@ -268,6 +272,27 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], threshold: float = 0.5)
     return rows.mapInArrow(run, _OUT)
 
 
+def scorer(spark: SparkSession, model: dict[str, np.ndarray]):
+    """A function of a text column: the score."""
+    shared = spark.sparkContext.broadcast(model)  # of fixed size
+
+    @F.arrow_udf("double")
+    def toxicity(texts: pa.Array) -> pa.Array:
+        m, scores = shared.value, [np.zeros(0)]
+        for _, words in W.documents(texts, lower=True):
+            p = marginals(m["weights"][features(words)].sum(axis=1) + m["bias"][0], words.doc, m["transition"])
+            scores.append(document_scores(m, p, words.doc))
+        return pa.array(np.concatenate(scores))
+
+    return toxicity
+
+
+def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """docs without those whose score reaches the threshold."""
+    score_of = scorer(docs.sparkSession, train(docs, labels))
+    return docs.where(score_of(F.col("text").cast("string")) < threshold)
+
+
 def classify(spark, sf_dir: str) -> DataFrame:
     """Query op4_toxicity: scores and offending spans of all documents."""
     docs = table(spark, sf_dir, "documents")
