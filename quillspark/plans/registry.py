@@ -1,4 +1,12 @@
-"""Named queries and their SQL."""
+"""All named queries, and the SQL of those that SQL can express."""
 
+from __future__ import annotations
+
+from quillspark.plans import matching
+
+_PARTS = (matching,)
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in _PARTS:
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
