@@ -6,11 +6,13 @@ order is shared too (the size-derived bound). That order puts shingles that a sk
 finds common last, so that passages which many documents share rarely make candidates.
 
 The nodes with one key and of sizes in one class or the next form a cell; cells with the same nodes
-count once. A cell with much in it is cut into slots, and pairs of slots are its blocks. A block's
-incidence matrix is multiplied with its transpose, some columns at a time, which accumulates the
-overlap counts; pairs outside the size bounds or below the threshold are discarded. What leaves a
-block are the links of a spanning tree for each of its classes, not all pairs. Classes of the whole
-table come from connected components over them.
+count once. A cell with much in it is cut into slots, and pairs of slots are its blocks. A block first
+meets small histograms of its sets' hashes, whose overlap is never below that of the sets: pairs that
+fall below the bound even so are discarded, and what still hangs together is a group. Groups that
+share nodes form a cluster, and only sets of clustered nodes are fetched. A cluster's incidence matrix,
+in blocks again, is multiplied with its transpose, some columns at a time, which accumulates the
+overlap counts; pairs below the threshold are discarded. What leaves a block are the links of a
+spanning tree for each of its classes, not all pairs. Classes of the whole table come from connected components over them.
 
 Defined results: a text without words, null or empty, has no shingles and its own class; a text of
 one to n - 1 words is one shingle; rows with a null doc_id have a null class and link nothing;
@@ -20,6 +22,7 @@ not read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -51,18 +54,25 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _histogram(values: np.ndarray) -> bytes:
+    """Counts of a set's hashes by their leading bits, in a fourth as many bins (64 at least)."""
+    bits = max(6, (len(values) // 4).bit_length())
+    return np.minimum(np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
 def nodes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node) of every row."""
+    """(doc_id, n_shingles, node, histogram) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for _, _, offsets, node in _sets(batch.column(1), n):
+            sizes, names, histograms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+            for _, values, offsets, node in _sets(batch.column(1), n):
                 sizes.append(np.diff(offsets))
                 names.append(node)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(names))], ["doc_id", "n_shingles", "node"])
+                histograms += [_histogram(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(names)), pa.array(histograms, pa.binary())], ["doc_id", "n_shingles", "node", "histogram"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, histogram binary")
 
 
 def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
@@ -160,8 +170,20 @@ def product(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, perce
     return 100 * overlap >= percent * union
 
 
-def _forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray, count: int) -> Iterator[tuple[int, int]]:
-    """(root, other) for each class of the links, by breadth-first search."""
+def bounds(histograms: list[np.ndarray], sizes: np.ndarray, rows: np.ndarray, columns: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs whose histograms leave room for enough overlap: smaller counts of each bin, added up."""
+    least = min(len(h) for h in histograms)
+    folded = np.stack([h.reshape(least, -1).sum(axis=1, dtype=np.uint16) for h in histograms])
+    right = folded[columns]
+    out = np.zeros((len(rows), len(columns)), bool)
+    for i, r in enumerate(rows):
+        most = np.minimum(folded[r], right).sum(axis=1, dtype=np.int64)
+        out[i] = 100 * most >= percent * (sizes[r] + sizes[columns] - most)
+    return out
+
+
+def _classes(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray, count: int) -> list[np.ndarray]:
+    """Members of each class of the links that has two or more, by breadth-first search."""
     member = np.full(count, -1)
     row_of, column_of = np.full(count, -1), np.full(count, -1)
     row_of[rows], column_of[columns] = np.arange(len(rows)), np.arange(len(columns))
@@ -179,51 +201,96 @@ def _forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray, count: in
                 reach[rows[linked[:, c[c >= 0]].any(axis=1)]] = True
             front = np.flatnonzero(reach & (member < 0))
             member[front] = root
-            for x in front:
-                yield root, int(x)
-
-
-def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): nodes of one class; members as from cells(), sets has (node, shingles)."""
-    n = partitions(members.sparkSession)
+    order = np.argsort(member, kind="stable")
+    return [m for m in np.split(order, np.flatnonzero(np.diff(member[order])) + 1) if len(m) > 1]
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(values of the first `parts` columns, rows of the others) of rows sorted by the former."""
+    now, rows = None, []
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+        for row in zip(*columns, strict=True):
+            if row[:parts] != now:
+                if rows:
+                    yield now, rows
+                now, rows = row[:parts], []
+            rows.append(row[parts:])
+    if rows:
+        yield now, rows
+
+
+def groups(members: DataFrame, histograms: DataFrame, percent: int) -> DataFrame:
+    """(gid, node): what the bound leaves together in the blocks of cells; histograms has (node, histogram)."""
     slot = F.pmod(F.xxhash64("node"), F.col("slots")).cast("int")
     dealt = (
-        members.join(sets, "node")
-        .withColumn("slot", slot)
+        members.withColumn("slot", slot)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-        .select("key", "cell", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"), "slot", "node", "shingles")
-        .repartition(n, "key", "cell", "lo", "hi")
+        .join(histograms, "node")
+        .select("key", "cell", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"), "slot", "node", "n", "histogram")
+        .repartition(partitions(members.sparkSession), "key", "cell", "lo", "hi")
         .sortWithinPartitions("key", "cell", "lo", "hi", "node")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, names, slots, rows = None, [], [], []
-        out: list[tuple[int, int]] = []
-
-        def close() -> None:
-            if len(names) < 2:
-                return
-            where, (lo, hi) = np.array(slots), block[2:]
+        gids, names = [], []
+        for (_, _, lo, hi), rows in _by_group(batches, 4):
+            rows = list({r[1]: r for r in rows}.values())  # copies of a node once
+            where = np.array([r[0] for r in rows])
             left, right = np.flatnonzero(where == lo), np.flatnonzero(where == hi)
-            if len(left) and len(right):
-                out.extend((names[i], names[j]) for i, j in _forest(product(rows, left, right, percent), left, right, len(names)))
+            if len(rows) < 2 or not len(left) or not len(right):
+                continue
+            linked = bounds([np.frombuffer(r[3], np.uint8) for r in rows], np.array([r[2] for r in rows], np.int64), left, right, percent)
+            if lo == hi:
+                np.fill_diagonal(linked, False)
+            node = np.array([r[1] for r in rows], np.int64)
+            for m in _classes(linked, left, right, len(rows)):
+                found = np.sort(node[m])
+                gid = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "big", signed=True)
+                gids += [gid] * len(found)
+                names += found.tolist()
+            if len(gids) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), pa.array(names, pa.int64())], ["gid", "node"])
+                gids, names = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), pa.array(names, pa.int64())], ["gid", "node"])
+
+    return dealt.mapInArrow(run, "gid long, node long").distinct()
+
+
+def clusters(grouped: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(cluster, slots, node): groups that share nodes together, so that a set travels once and not for
+    every group; sizes has (node, n_shingles)."""
+    least = grouped.groupBy("gid").agg(F.min("node").alias("least"))
+    roots = components(grouped.join(least, "gid").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    members = grouped.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("cluster"))
+    members = materialize(members.join(sizes, "node"), "clusters")
+    slots = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / _BLOCK_NODES), F.ceil(F.sum("n_shingles") / _BLOCK_SHINGLES)).cast("int").alias("slots"))
+    return members.join(slots, "cluster").select("cluster", "slots", "node")
+
+
+def links(clustered: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): nodes of one class, a spanning tree for each class of a block; sets has (node, shingles)."""
+    slot = F.pmod(F.xxhash64("node"), F.col("slots")).cast("int")
+    dealt = (
+        clustered.join(sets, "node")
+        .withColumn("slot", slot)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+        .select("cluster", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"), "slot", "node", "shingles")
+        .repartition(partitions(clustered.sparkSession), "cluster", "lo", "hi")
+        .sortWithinPartitions("cluster", "lo", "hi", "node")
+    )
 
-        for batch in batches:
-            for key, cell, lo, hi, own, node, shingles in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if (key, cell, lo, hi) != block:
-                    close()
-                    block = (key, cell, lo, hi)
-                    names, slots, rows = [], [], []
-                if not names or names[-1] != node:  # copies come one after the other
-                    names.append(node)
-                    slots.append(own)
-                    rows.append(np.frombuffer(shingles, np.uint64))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
-                out.clear()
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, lo, hi), rows in _by_group(batches, 3):
+            rows = list({r[1]: r for r in rows}.values())  # copies of a node once
+            where = np.array([r[0] for r in rows])
+            left, right = np.flatnonzero(where == lo), np.flatnonzero(where == hi)
+            if len(rows) < 2 or not len(left) or not len(right):
+                continue
+            linked = product([np.frombuffer(r[2], np.uint64) for r in rows], left, right, percent)
+            tree = [(rows[m[0]][1], rows[x][1]) for m in _classes(linked, left, right, len(rows)) for x in m[1:]]
+            if tree:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in tree], pa.int64()), pa.array([x for _, x in tree], pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -233,7 +300,9 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     base = materialize(nodes(docs, n), "nodes")
     prefix = materialize(keys(docs, n, percent, frequency_classes(docs, n)), "prefix")
     members = cells(prefix, percent)
-    wanted = members.select("node").distinct()
+    named = base.where("n_shingles > 0 and doc_id is not null")
+    grouped = materialize(groups(members, named.select("node", "histogram").dropDuplicates(["node"]), percent), "groups")
+    wanted = grouped.select("node").distinct()
     first = base.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = first.join(wanted, "node", "left_semi").select("doc_id")
 
@@ -244,7 +313,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
     sets = materialize(_texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(shingles, "node long, shingles binary"), "sets")
     free_shuffles(docs.sparkSession)
-    found = materialize(links(members, sets, percent), "links")
+    found = materialize(links(clusters(grouped, named.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))), sets, percent), "links")
     free_shuffles(docs.sparkSession)
     # Nodes get the smallest doc_id of their documents as name before the classes are sought.
     named = first.withColumnRenamed("doc_id", "name")
