@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
-from quillspark.llm.common import free_shuffles, materialize, partitions, table
+from quillspark.llm.common import free_shuffles, materialize, partitions, release, table
 
 _GRAM = 5
 _MULTIPLIER = 0xC2B2AE3D27D4EB4F | 1
@@ -239,6 +239,8 @@ def repeats(docs: DataFrame, n: int = 13) -> DataFrame:
     shared = materialize(found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "anchors")
     free_shuffles(spark)
     hits = materialize(found.join(shared, "anchor", "left_semi"), "hits")
+    release(found)
+    release(shared)
     free_shuffles(spark)
     first = materialize(hits.groupBy("anchor", "region").agg(F.min("doc_id").alias("first")), "first")
     variants = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
@@ -250,11 +252,15 @@ def repeats(docs: DataFrame, n: int = 13) -> DataFrame:
     shards = max(1, -(-texts.count() // _SHARD_REGIONS))
     masks = _by_automata(texts.where(F.col("variants") <= _SHARD_REGIONS), shards, n).unionByName(_by_windows(texts.where(F.col("variants") > _SHARD_REGIONS), n))
     masks = materialize(masks.where("mask <> 0"), "masks")
+    release(texts)
+    release(contested)
     known = first.join(masks, "region", "left").select("region", "first", "mask")
     marked = hits.select("region", "doc_id").join(known, "region").select("doc_id", "region", F.when(F.col("first") < F.col("doc_id"), F.lit(_WHOLE)).otherwise(F.col("mask")).cast("long").alias("mask")).where("mask is not null")
     # The lists are no longer than the document.
     lists = marked.groupBy("doc_id").agg(F.collect_list(F.struct("region", "mask")).alias("x"))
     out = materialize(lists.select("doc_id", F.col("x.region").alias("regions"), F.col("x.mask").alias("masks")), "repeats")
+    for done in (hits, first, masks):
+        release(done)
     free_shuffles(spark)
     return out
 
