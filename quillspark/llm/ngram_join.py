@@ -3,7 +3,7 @@
 Documents with the same shingle set are one node, named by a hash of the set. Of a set of n shingles
 that is to share a fraction t of a union, one of the n - ceil(t n) + 1 that come first in any common
 order is shared too (the size-derived bound). That order puts shingles that a sketch of fixed size
-finds common last, so that passages which many documents share rarely make candidates.
+counts often last, so that passages which many documents share rarely make candidates.
 
 The nodes with one key and of sizes in one class or the next form a cell; cells with the same nodes
 count once. A cell with much in it is cut into slots, and pairs of slots are its blocks. A block first
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
-from quillspark.llm.common import free_shuffles, materialize, partitions, table
+from quillspark.llm.common import free_shuffles, materialize, partitions, release, table
 from quillspark.llm.components import components
 
 _CELL_BITS = 22
@@ -75,10 +75,9 @@ def nodes(docs: DataFrame, n: int) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, histogram binary")
 
 
-def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
-    """A class for each of 2 ** _CELL_BITS hash cells: 0 for usual counts of documents, more for
-    each doubling above. Tasks count their documents into a sketch of fixed size; sketches are
-    added up chunk by chunk."""
+def cell_counts(docs: DataFrame, n: int) -> np.ndarray:
+    """The number of documents' shingles in each of 2 ** _CELL_BITS hash cells. Tasks count their
+    documents into a sketch of fixed size; sketches are added up chunk by chunk."""
     size = 1 << _CELL_BITS
     part = size // _CHUNKS
 
@@ -100,16 +99,15 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
 
     schema = "chunk int, counts binary"
     summed = _texts(docs).mapInArrow(count, schema).repartition(_CHUNKS, "chunk").mapInArrow(add, schema)
-    total = np.zeros((_CHUNKS, part), np.float64)
-    for r in summed.collect():  # _CHUNKS rows, of 2 ** _CELL_BITS counts in all
-        total[r["chunk"]] = np.frombuffer(bytes(r["counts"]), np.uint32)
-    usual = 4 * total.mean() + 8
-    return np.minimum(np.where(total > usual, np.floor(np.log2(np.maximum(total / usual, 1))) + 1, 0), 255).astype(np.uint8).ravel()
+    total = np.zeros((_CHUNKS, part), np.uint16)
+    for r in summed.toLocalIterator():  # _CHUNKS rows, of 2 ** _CELL_BITS counts in all
+        total[r["chunk"]] = np.minimum(np.frombuffer(bytes(r["counts"]), np.uint32), 65535)
+    return total.ravel()
 
 
-def keys(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
+def keys(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
     """(key, node, n) for the first shingles of every document's set, rare ones first."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,10 +296,13 @@ def links(clustered: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
     base = materialize(nodes(docs, n), "nodes")
-    prefix = materialize(keys(docs, n, percent, frequency_classes(docs, n)), "prefix")
+    prefix = materialize(keys(docs, n, percent, cell_counts(docs, n)), "prefix")
     members = cells(prefix, percent)
     named = base.where("n_shingles > 0 and doc_id is not null")
     grouped = materialize(groups(members, named.select("node", "histogram").dropDuplicates(["node"]), percent), "groups")
+    release(prefix)
+    release(members)
+    free_shuffles(docs.sparkSession)
     wanted = grouped.select("node").distinct()
     first = base.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = first.join(wanted, "node", "left_semi").select("doc_id")
@@ -314,6 +315,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     sets = materialize(_texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(shingles, "node long, shingles binary"), "sets")
     free_shuffles(docs.sparkSession)
     found = materialize(links(clusters(grouped, named.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))), sets, percent), "links")
+    release(sets)
     free_shuffles(docs.sparkSession)
     # Nodes get the smallest doc_id of their documents as name before the classes are sought.
     named = first.withColumnRenamed("doc_id", "name")
