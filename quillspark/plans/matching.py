@@ -34,12 +34,6 @@ qc AS (SELECT query_id, size, token, count(*) AS times FROM qt GROUP BY ALL), wc
 pairs AS (SELECT query_id, work_id, sum(qc.times) / any_value(qc.size) AS p, sum(wc.times) / any_value(wc.size) AS r FROM qc JOIN wc USING (token) GROUP BY query_id, work_id)"""
 
 
-def _title_pairs(spark, d):
-    """Pairs of distinct titles with a common token."""
-    titles = S.works(spark, d).select("title").distinct().select(F.xxhash64("title").alias("x"), "title")
-    return titles
-
-
 def title_similarity(strict: bool):
     def query(spark, d):
         """Each benchmark item's first line against the titles it shares a token with."""
@@ -72,7 +66,10 @@ def title_coverage(spark, d):
 
 def match_score(mode: str):
     def query(spark, d):
-        found = L.ranked_matches(S.benchmark_queries(spark, d).where(F.col("mode") == mode), S.works(spark, d))
+        asked = S.benchmark_queries(spark, d)
+        if mode == "title":
+            asked = asked.withColumns({"phrase": F.substring(T.first_line(F.col("phrase")), 1, 200), "mode": F.lit(mode)})
+        found = L.ranked_matches(asked.where(F.col("mode") == mode), S.works(spark, d))
         return found.select("query_id", "work_id", "rank", T.rounded(F.col("score"), 2).alias("score"), L.score_label(F.col("score")).alias("label"), T.rounded(F.col("title_score")).alias("title_score"), T.rounded(F.col("abstract_score")).alias("abstract_score"))
 
     return query
@@ -105,7 +102,10 @@ _LABEL = "CASE WHEN score >= 0.88 THEN 'high' WHEN score >= 0.68 THEN 'likely' W
 
 
 def _match_sql(mode: str) -> str:
-    return f"""WITH {_match_cte(f"SELECT item_id AS query_id, text AS phrase, {D.mode('text')} AS mode FROM benchmark WHERE {D.mode('text')} = '{mode}'")}
+    asked = f"SELECT item_id AS query_id, text AS phrase, 'body' AS mode FROM benchmark WHERE {D.mode('text')} = 'body'"
+    if mode == "title":
+        asked = f"SELECT item_id AS query_id, substr({D.first_line('text')}, 1, 200) AS phrase, 'title' AS mode FROM benchmark"
+    return f"""WITH {_match_cte(asked)}
 SELECT query_id, work_id, CAST(rank AS INTEGER) AS rank, {D.rounded("score", 2)} AS score, {_LABEL} AS label, {D.rounded("title_score")} AS title_score, {D.rounded("abstract_score")} AS abstract_score FROM ranked WHERE rank <= 8"""
 
 
@@ -172,8 +172,7 @@ def abstract_snippets(spark, d):
     """Best sentences for the benchmark item with the document's number, of documents that have one."""
     b = S.table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
     docs = S.table(spark, d, "documents").select("doc_id", "text")
-    n = b.agg(F.count(F.lit(1)).alias("n"))
-    pairs = docs.join(F.broadcast(n), how="cross").withColumn("item_id", F.col("doc_id") % F.col("n")).join(b, "item_id")  # one row of n
+    pairs = docs.withColumn("item_id", F.col("doc_id") % b.count()).join(b, "item_id")
     return pairs.select("doc_id", F.md5(F.array_join(T.snippets(F.col("query"), F.col("text")), "\n").cast("binary")).alias("snippets_md5"))
 
 

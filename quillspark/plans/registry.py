@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import matching
+from quillspark.plans import matching, records, verification
 
-_PARTS = (matching,)
+_PARTS = (matching, records, verification)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _part in _PARTS:
