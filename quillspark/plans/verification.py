@@ -51,7 +51,8 @@ def _sources(spark, d):
 
 
 def _resolved(spark, d):
-    return V.resolve(refs(spark, d), *_sources(spark, d))
+    # Cached: both the checks and the status read them, and joins on hints read references twice.
+    return V.resolve(refs(spark, d).cache(), *_sources(spark, d)).cache()
 
 
 def verify_field_checks(spark, d):
@@ -115,18 +116,6 @@ def _author_sql(a: str, b: str) -> str:
     return f"CASE WHEN coalesce({D.strip(a)}, '') = '' THEN 1.0 WHEN coalesce({D.strip(b)}, '') = '' THEN 0.0 WHEN {family} = '' OR NOT contains({D.norm(b)}, {family}) THEN 0.0 WHEN ({own}) = '' THEN 1.0 WHEN len({other}) = 0 THEN 0.85 WHEN ({own}) = {first(other)} THEN 1.0 WHEN length({own}) = 1 AND substr({other}[1], 1, 1) = ({own}) THEN 1.0 ELSE 0.2 END"
 
 
-_TITLE_SCORE = D.similarity("na", "nb", "f1", True, "lost", "p", "r")
-_CHECKS_CTE = f"""
-w AS ({_DUCK_WORKS}), h AS (SELECT ref_id, {", ".join(R.HINTS)} FROM {_HINTED}),
-reg AS (SELECT * REPLACE (CASE WHEN doc_id % 4 = 0 THEN NULL ELSE volume END AS volume, CAST(NULL AS VARCHAR) AS pmid) FROM w WHERE doc_id % 7 <> 6), lib AS (SELECT * FROM w WHERE doc_id % 5 <> 4), dat AS (SELECT * FROM w WHERE doc_id % 11 = 0), med AS (SELECT * FROM w WHERE doc_id % 3 = 0),
-q AS (SELECT *, {D.norm("cited_title")} AS na, {D.tokens("cited_title")} AS ta FROM h WHERE cited_doi IS NULL AND cited_pmid IS NULL AND length(cited_title) >= 12),
-b AS (SELECT *, {D.norm("title")} AS nb, {D.tokens("title")} AS tb FROM reg),
-c0 AS (SELECT q.*, b.*, {D.share("ta", "tb")} AS p, {D.share("tb", "ta")} AS r FROM q JOIN b ON list_has_any(ta, tb)),
-c1 AS (SELECT *, {D.harmonic("p", "r")} AS f1, len(list_filter(tb[1:2], lambda w: NOT list_contains(ta, w))) > 0 AS lost FROM c0 WHERE p + r > 0.5),
-c2 AS (SELECT *, {_TITLE_SCORE} AS title_score, {_author_sql("cited_author", "first_author")} AS author_score, abs(TRY_CAST(cited_year AS INTEGER) - year) AS gap FROM c1),
-c3 AS (SELECT *, CASE WHEN cited_year IS NULL THEN 1.0 WHEN gap IS NULL THEN 0.5 WHEN gap = 0 THEN 1.0 WHEN gap = 1 THEN 0.4 ELSE 0.0 END AS year_score, CASE WHEN cited_author IS NULL THEN 0.08 ELSE 0.22 END AS aw, CASE WHEN cited_year IS NULL THEN 0.08 ELSE 0.15 END AS yw FROM c2 WHERE title_score >= 0.35),"""
-
-
 ORACLES = {
     "ref_generate_extract": f"SELECT ref_id, cited_doi, cited_pmid, cited_year FROM {_HINTED}",
     "ref_biblio_hints": f"SELECT ref_id, cited_journal, cited_volume, cited_issue, cited_pages FROM {_HINTED}",
