@@ -75,7 +75,8 @@ def match_score(mode: Column, title: Column, abstract: Column, coverage: Column,
 
 
 def score_label(score: Column) -> Column:
-    return F.when(score >= 0.88, "high").when(score >= 0.68, "likely").when(score >= 0.45, "related").otherwise("weak")
+    #: Fixed values.
+    return F.when(score >= 0.88, "高度匹配").when(score >= 0.68, "较可能").when(score >= 0.45, "相关候选").otherwise("弱相关")
 
 
 def ranked_matches(queries: DataFrame, works: DataFrame, k: int = 8) -> DataFrame:

@@ -98,7 +98,7 @@ s4 AS (SELECT * EXCLUDE s, {D.rounded("least(1.0, s + least(0.02, log10(cited +
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cited DESC, work_id) AS rank FROM s4 WHERE score >= CASE WHEN mode = 'title' THEN 0.42 ELSE 0.22 END)"""
 
 
-_LABEL = "CASE WHEN score >= 0.88 THEN 'high' WHEN score >= 0.68 THEN 'likely' WHEN score >= 0.45 THEN 'related' ELSE 'weak' END"
+_LABEL = "CASE WHEN score >= 0.88 THEN '高度匹配' WHEN score >= 0.68 THEN '较可能' WHEN score >= 0.45 THEN '相关候选' ELSE '弱相关' END"
 
 
 def _match_sql(mode: str) -> str:
