@@ -125,7 +125,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or []
     cuts = sorted({int(x) for x in cuts}, reverse=True)
     # Range 0 has the largest ids; nulls are in the last one.
-    place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("doc_id"))), F.lit(len(cuts))) if cuts else F.lit(0)
+    place = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("doc_id")))) if cuts else F.lit(0)
     rows = rows.withColumn("place", place.cast("int"))
     tops = rows.groupBy("place").agg(F.max("doc_id").alias("top")).orderBy("place").collect()  # one row a range
     before = {tops[i].place: (tops[i].top, tops[i - 1].place) for i in range(len(tops))}

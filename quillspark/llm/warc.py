@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, shared_dir, table
+from quillspark.llm.common import materialize, partitions, shared_dir, table
 
 _BLOCK = 1 << 20
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -219,7 +219,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     yield batch(rows)
 
     files = archives.select("path").distinct()
-    return files.repartition(F.col("path")).mapInArrow(read, RECORD_SCHEMA)
+    # By number, so that adaptive execution doesn't put all of these short rows into one task.
+    return files.repartition(partitions(archives.sparkSession), "path").mapInArrow(read, RECORD_SCHEMA)
 
 
 def page_number(column: str):
