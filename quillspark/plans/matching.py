@@ -124,34 +124,38 @@ def query_expansion(spark, d):
 _SENTENCES = f"(SELECT conv_id, turn, CAST(u.i - 1 AS INTEGER) AS pos, l[u.i] AS sentence FROM (SELECT conv_id, turn, {D.sentences('text')} AS l FROM conversations), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i) u)"
 
 
-def _sentence_queries(spark, d):
-    """Sentences of every conversation's first turn as questions."""
-    s = S.sentences(spark, d).where("turn = 0")
-    return s.select((F.col("conv_id") * 100 + F.col("pos")).alias("query_id"), F.substring("sentence", 1, 500).alias("phrase"), T.search_mode(F.col("sentence")).alias("mode"), F.lit(None).cast("int").alias("year_hint"))
+_SENTENCE = ("conv_id", "turn", "pos")
+
+
+def _sentence_hits(spark, d):
+    """Sentences of all turns, and the works found for each. Equal sentences are matched once, under
+    the first one's place as query_id."""
+    asked = S.sentences(spark, d).select(*_SENTENCE, F.substring("sentence", 1, 500).alias("phrase"), T.search_mode(F.col("sentence")).alias("mode"))
+    once = asked.groupBy("phrase", "mode").agg(F.min(F.struct(*_SENTENCE)).alias("query_id"), F.lit(None).cast("int").alias("year_hint"))
+    hits = L.ranked_matches(once, S.works(spark, d)).drop("mode").join(once.select("query_id", "phrase", "mode"), "query_id")
+    return asked, asked.join(hits, ["phrase", "mode"]).drop("phrase", "query_id")
 
 
 def match_sentence_report(spark, d):
     """For each sentence: hits, best score and the works found; sentences without hits too."""
-    q = _sentence_queries(spark, d)
-    hits = L.ranked_matches(q, S.works(spark, d))
-    report = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), T.rounded(F.max("score"), 2).alias("best"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "work_id"))), lambda x: x["work_id"]).alias("works"))
-    return q.select("query_id", "mode").join(report, "query_id", "left").select("query_id", "mode", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), "best", F.array_join(F.col("works").cast("array<string>"), ",").alias("works"))
+    asked, hits = _sentence_hits(spark, d)
+    report = hits.groupBy(*_SENTENCE).agg(F.count(F.lit(1)).alias("hits"), T.rounded(F.max("score"), 2).alias("best"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "work_id"))), lambda x: x["work_id"]).alias("works"))
+    return asked.select(*_SENTENCE, "mode").join(report, list(_SENTENCE), "left").select(*_SENTENCE, "mode", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), "best", F.array_join(F.col("works").cast("array<string>"), ",").alias("works"))
 
 
 _SENTENCE_QUERIES = f"SELECT conv_id * 100 + pos AS query_id, substr(sentence, 1, 500) AS phrase, {D.mode('sentence')} AS mode FROM {_SENTENCES} WHERE turn = 0"
 
 
 def match_hit_merge(spark, d):
-    """Works found for any sentence of a conversation, merged over its sentences: best 12."""
-    hits = L.ranked_matches(_sentence_queries(spark, d), S.works(spark, d))
+    """Works found for any sentence of a conversation, merged over its sentences: best 12. Sentences
+    are named by turn and place."""
+    _, hits = _sentence_hits(spark, d)
     rows = hits.select(
-        F.floor(F.col("query_id") / 100).cast("long").alias("conv_id"),
-        F.concat_ws(":", F.floor(F.col("query_id") / 100).cast("string"), "work_id").alias("key"),
-        "work_id",
-        (F.col("query_id") % 100).cast("int").alias("pos"),
+        F.concat_ws(":", "conv_id", "work_id").alias("key"),
+        F.struct("turn", "pos").alias("pos"),
         T.rounded(F.col("score"), 2).alias("score"),
         "cited",
-        F.concat(F.lit("s"), (F.col("query_id") % 100).cast("string")).alias("sentence"),
+        F.concat(F.lit("t"), F.col("turn").cast("string"), F.lit("s"), F.col("pos").cast("string")).alias("sentence"),
         F.array(L.score_label(F.col("score"))).alias("reasons"),
         F.array(F.col("mode")).alias("sources"),
     )
