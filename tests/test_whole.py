@@ -1,6 +1,8 @@
 """Queries read all of their input: cases where a part of it used to be left out."""
 
-from quillspark.plans import matching
+import hashlib
+
+from quillspark.plans import matching, outputs
 
 
 def save(spark, folder, **tables):
@@ -20,3 +22,14 @@ def test_sentences_of_later_turns_are_matched(spark, tmp_path):
     assert report == {(7, 0, 0): (1, "1"), (7, 1, 0): (1, "2"), (7, 2, 0): (1, "1"), (8, 0, 0): (0, None)}
     merged = {(r["conv_id"], r["work_id"]): (r["rank"], r["sentences"]) for r in matching.match_hit_merge(spark, d).collect()}
     assert merged == {(7, 2): (1, "t1s0"), (7, 1): (2, "t2s0,t0s0")}
+
+
+def test_words_after_the_fiftieth_are_indexed(spark, tmp_path):
+    text = " ".join(f"w{i % 70}" for i in range(120))
+    d = save(spark, tmp_path, documents=([(1, text.replace(" w60", "\n w60"), "en", "a", 5)], DOCUMENTS))
+    assert [tuple(r) for r in matching.inverted_index_rebuild(spark, d).collect()] == [(1, 70, hashlib.md5(text.encode()).hexdigest())]
+
+
+def test_evidence_after_the_first_line_counts(spark, tmp_path):
+    d = save(spark, tmp_path, documents=([(7, "A title\nWe followed a cohort.\nSee the guideline.", "en", "a", 5)], DOCUMENTS))
+    assert [tuple(r) for r in outputs.evidence_tags(spark, d).collect()] == [(7, "指南/共识,观察性")]
