@@ -1,10 +1,11 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block of the page. A line's weight is its length; lines
-of menus, forms, adverts and the like weigh nothing, and where the page marks its article, lines
-inside weigh a threshold more and lines outside nothing. The distribution is the sum of weights
-over a window of lines; text starts where the sum surges over the threshold and ends where it
-dives to nothing, and the weighted lines in between are kept.
+of menus, forms, adverts and the like weigh nothing, and lines that the page marks as its article
+weigh up to twice their length, by no more than a window's share of the threshold, so that a mark
+alone never lifts a window over it. The distribution is the sum of weights over a window of lines;
+text starts where the sum surges over the threshold and ends where it dives to nothing, and the
+weighted lines in between are kept.
 
 Defined results: null or empty html gives an empty text of 0 characters; repeated rows each give a
 row; other columns of the input are not read.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +32,17 @@ _BLOCK = {
     "address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html",
     "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 } | _ASIDE
+#: Elements whose end tag may be left out: what closes them when it opens, and what hides them from it.
+_IMPLIED = {
+    "li": ({"li"}, _BLOCK - {"address", "div", "p"}),
+    "dt": ({"dt", "dd"}, _BLOCK - {"address", "div", "p"}),
+    "dd": ({"dt", "dd"}, _BLOCK - {"address", "div", "p"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "tr": ({"tr"}, {"table"}),
+}
+_CELL = {"td", "th", "caption", "table", "button"}
+_TABLE = {"table", "tbody", "tfoot", "thead", "tr"} | _CELL
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _OUTSIDE = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer",
@@ -60,14 +73,35 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
     """(text, beside the article, in the marked article) of each block of the page."""
     out: list[tuple[str, bool, bool]] = []
     run: list[str] = []
-    at, skip, depth, article = 0, "", 0, 0
-    kept_heading = False
+    #: Open elements: name, how what they hold counts (0 text, 1 beside, 2 header of an article), in an article.
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    opened: Counter[str] = Counter()
+    at = 0
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
         run.clear()
         if text:
-            out.append((text, bool(skip) and not kept_heading, article > 0))
+            _, beside, inside = stack[-1]
+            out.append((text, beside > 0, inside))
+
+    def cut(place: int) -> None:
+        if stack[place - 1][1:] != stack[-1][1:]:
+            flush()
+        for name, _, _ in stack[place:]:
+            opened[name] -= 1
+        del stack[place:]
+
+    def find(names: set[str], hidden_by: set[str]) -> int:
+        """Place of the innermost open element of these names, 0 if none is in reach."""
+        if not any(opened[x] for x in names):
+            return 0
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i][0] in names:
+                return i
+            if stack[i][0] in hidden_by:
+                break
+        return 0
 
     while found := _TOKEN.search(page, at):
         run.append(page[at : found.start()])
@@ -78,7 +112,7 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
                 run.append(html.escape(found[0][9:-3]))
             continue
         name, close, attributes = name.lower(), bool(found[1] or found[4]), (found[3] or found[6] or "")
-        if name in _BLOCK or name == skip:
+        if name in _BLOCK:
             flush()
         if name in _RAW:
             if not close and not attributes.endswith("/"):
@@ -86,20 +120,31 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
                 if end or name not in ("head", "title"):
                     at = end.end() if end else len(page)
             continue
-        if name in _VOID:
+        if close:
+            # An inline end tag doesn't reach over a block, nor one inside a cell out of it.
+            if name not in _VOID and (place := find({name}, set() if name in _TABLE else _CELL if name in _BLOCK else _BLOCK)):
+                cut(place)
             continue
-        if skip:
-            kept_heading = skip == "header" and article > 0 and name in _HEADING and not close
-            if name == skip:
-                depth += -1 if close else 1
-                if depth == 0:
-                    skip = ""
-            elif name in ("article", "main") and not close and article == 0:
-                skip, depth = "", 0
-        elif not close and not attributes.endswith("/") and (name in _ASIDE or (name not in ("html", "body", "article", "main") and _beside(attributes))):
-            skip, depth, kept_heading = name, 1, False
-        if name in ("article", "main") and not skip:
-            article = max(0, article + (-1 if close else 1))
+        if name in _BLOCK and name != "br" and (place := find({"p"}, _CELL)):
+            cut(place)
+        if name in _IMPLIED and (place := find(*_IMPLIED[name])):
+            cut(place)
+        if name in _VOID or attributes.endswith("/"):
+            continue
+        _, beside, inside = stack[-1]
+        if name == "main":
+            beside = 0
+        elif beside == 2 and name in _HEADING:
+            beside = 0
+        elif beside == 2 and (name in _ASIDE or _beside(attributes)):
+            beside = 1
+        elif beside == 0 and (name in _ASIDE or (name not in ("html", "body") and _beside(attributes))):
+            beside = 2 if name == "header" and inside else 1
+        inside = beside == 0 and name in ("article", "main") or inside
+        if (beside, inside) != stack[-1][1:]:
+            flush()
+        stack.append((name, beside, inside))
+        opened[name] += 1
     run.append(page[at:] if not page[at:].startswith("<") else "")
     flush()
     return out
@@ -110,8 +155,7 @@ def main_text(page: str | None, threshold: int = 86, window: int = 3) -> str:
     if not page:
         return ""
     found = lines(page)
-    marked = any(inside and not beside for _, beside, inside in found)
-    weights = [0 if beside or (marked and not inside) else len(text) + (threshold if marked else 0) for text, beside, inside in found]
+    weights = [0 if beside else len(text) + (min(len(text), threshold // window) if inside else 0) for text, beside, inside in found]
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
     keep, i = [], 0
     while i < len(sums):
