@@ -2,6 +2,7 @@
 
 import hashlib
 
+from quillspark.operators import verify
 from quillspark.plans import matching, outputs
 
 
@@ -33,3 +34,25 @@ def test_words_after_the_fiftieth_are_indexed(spark, tmp_path):
 def test_evidence_after_the_first_line_counts(spark, tmp_path):
     d = save(spark, tmp_path, documents=([(7, "A title\nWe followed a cohort.\nSee the guideline.", "en", "a", 5)], DOCUMENTS))
     assert [tuple(r) for r in outputs.evidence_tags(spark, d).collect()] == [(7, "指南/共识,观察性")]
+
+
+def test_dead_identifiers_are_asked_by_title_in_all_sources(spark):
+    work = "title string, first_author string, year int, container string, volume string, issue string, pages string, doi string, pmid string"
+    a = ("Malaria vaccine trial outcomes in children", "Harris P", 2001, "Nature", "1", "2", "3-4", "10.1/a", None)
+    b = ("Coastal erosion survey methods and results", "Taylor B", 2002, "Science", "5", "6", "7-8", None, "222")
+    registry, none, medical = spark.createDataFrame([a], work), spark.createDataFrame([], work), spark.createDataFrame([b], work)
+    hints = "ref_id long, cited_doi string, cited_pmid string, cited_year string, cited_title string, cited_author string, cited_journal string, cited_volume string, cited_issue string, cited_pages string"
+    asked = [
+        (1, "10.9/x", None, "2001", a[0], "Harris P", "Nature", "1", "2", "3-4"),
+        (2, "10.9/y", None, "1999", "Malaria vaccine trial outcomes in adults", "Minor C", "Nature", "1", "2", "3-4"),
+        (3, None, "999", "2005", b[0], "Taylor B", "Science", "5", "6", "7-8"),
+        (4, None, None, "2002", b[0], "Taylor B", "Science", "5", "6", "7-8"),
+        (5, "10.9/z", None, "2002", "Nothing of the kind anywhere", "Duda S", "Cell", "5", "6", "7-8"),
+        (6, "10.1/a", None, "2001", a[0], "Harris P", "Nature", "1", "2", "3-4"),
+    ]
+    found = verify.resolve(spark.createDataFrame(asked, hints), registry, none, none, medical).cache()
+    assert {r["ref_id"]: (r["branch"], r["record"] and r["record"]["title"]) for r in found.collect()} == {1: ("dead_doi", a[0]), 2: ("dead_doi", a[0]), 3: ("dead_pmid", b[0]), 4: ("title", b[0]), 5: ("dead_doi", None), 6: ("registry", a[0])}
+    checks = verify.field_checks(found)
+    assert {r["field"] for r in checks.where("ref_id < 3").collect()} == {"title"} and checks.where("ref_id = 3").count() == 8
+    got = {r["ref_id"]: (r["status"], r["drift"]) for r in verify.status(found, checks).collect()}
+    assert got[1] == ("risk", "doi") and got[2] == ("risk", "doi,title") and got[3] == ("risk", "pmid,year") and got[4][0] != "insufficient" and got[5] == ("risk", "doi")
