@@ -72,11 +72,46 @@ def journal_metrics(spark, d):
 _SOURCES = (("data", "customer", "c_custkey", "c_name", "c_acctbal"), ("data", "supplier", "s_suppkey", "s_name", "s_acctbal"), ("paper", "part", "p_partkey", "p_name", "p_retailprice"), ("trial", "nation", "n_nationkey", "n_name", "n_regionkey"), ("trial", "region", "r_regionkey", "r_name", "r_regionkey"))
 
 
-def _hits(spark, d):
+#: Titles of the curated rows, fixed values.
+_CURATED = (
+    "MIMIC-IV Demo",
+    "PhysioNet Challenge Datasets",
+    "The Cancer Genome Atlas (TCGA)",
+    "GTEx Portal",
+    "ENCODE Project",
+    "openFDA Drug Adverse Events",
+    "ClinicalTrials.gov Study Records",
+    "CDC WONDER / data.cdc.gov",
+    "UK Biobank Showcase (metadata)",
+    "NCBI Gene Expression Omnibus (GEO)",
+    "PRIDE Proteomics Archive",
+    "RCSB Protein Data Bank",
+    "ChEBI Chemical Entities",
+    "Human Protein Atlas",
+    "cBioPortal Studies",
+    "NCI Genomic Data Commons (GDC)",
+    "UniProt Knowledgebase",
+    "ChEMBL Bioactivity Database",
+    "MetaboLights",
+    "Expression Atlas",
+    "European Nucleotide Archive (ENA)",
+    "NCBI Sequence Read Archive (SRA)",
+    "WHO ICTRP Trial Search",
+    "EU Clinical Trials Register",
+    "dbGaP (controlled-access genomics)",
+)
+
+
+def _hits(spark, d, every=True):
+    """Hits of all sources; without every those of _SOURCES only, which source_status reports on."""
     parts = [
         S.table(spark, d, t).select(F.lit(kind).alias("kind"), F.lit(t).alias("tag"), F.col(key).cast("long").alias("pos"), F.col(title).alias("title"), F.floor(F.col(number).cast("double")).cast("long").alias("cited"), (F.col(key) % 30 + 1995).cast("int").alias("year"))
         for kind, t, key, title, number in _SOURCES
     ]
+    if every:
+        o = S.table(spark, d, "orders")
+        parts.append(o.select(F.lit("paper").alias("kind"), F.lit("orders").alias("tag"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.floor("o_totalprice").cast("long").alias("cited"), F.year("o_orderdate").alias("year")))
+        parts.append(spark.createDataFrame([("data", "curated", i, t, None, None) for i, t in enumerate(_CURATED, 1)], "kind string, tag string, pos long, title string, cited long, year int"))
     return M.first_wins(M.union_all(parts), ["title"], F.asc("source_rank"), F.asc("pos"))
 
 
@@ -93,13 +128,17 @@ def datasets_union_facets(spark, d):
 
 
 def datasets_since_type_sort(spark, d):
-    found = _hits(spark, d).where("(year is null or year = 0 or year >= 2005) and kind = 'data'")
-    return top(found, "kind", 50, F.desc(F.coalesce("cited", F.lit(0))), F.asc("source_rank"), F.asc("pos")).select("tag", "pos", "title", "cited", "year", "rank")
+    """All data hits with their rank by citations; ranks are counted within equal numbers, and those
+    before a number added up, so that no task sorts all hits."""
+    found = _hits(spark, d).where("(year is null or year = 0 or year >= 2005) and kind = 'data'").withColumn("n", F.coalesce("cited", F.lit(0)))
+    before = found.groupBy("n").agg(F.count(F.lit(1)).alias("times")).select("n", (F.sum("times").over(Window.orderBy(F.desc("n"))) - F.col("times")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("n").orderBy("source_rank", "pos"))
+    return found.withColumn("place", place).join(before, "n").select("tag", "pos", "title", "cited", "year", (F.col("before") + F.col("place")).cast("int").alias("rank"))
 
 
 def source_status(spark, d):
     """Each source's hits, and whether it gave any."""
-    counts = _hits(spark, d).groupBy("tag").agg(F.count(F.lit(1)).alias("hits"))
+    counts = _hits(spark, d, every=False).groupBy("tag").agg(F.count(F.lit(1)).alias("hits"))
     names = spark.createDataFrame([(i, s[1]) for i, s in enumerate(_SOURCES)] + [(len(_SOURCES), "registry")], "source_rank int, tag string")
     return names.join(counts, "tag", "left").select("source_rank", "tag", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce(F.col("hits") > 0, F.lit(False)).alias("used"))
 

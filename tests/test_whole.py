@@ -1,9 +1,10 @@
 """Queries read all of their input: cases where a part of it used to be left out."""
 
+import datetime
 import hashlib
 
 from quillspark.operators import verify
-from quillspark.plans import matching, outputs
+from quillspark.plans import matching, outputs, records
 
 
 def save(spark, folder, **tables):
@@ -56,3 +57,24 @@ def test_dead_identifiers_are_asked_by_title_in_all_sources(spark):
     assert {r["field"] for r in checks.where("ref_id < 3").collect()} == {"title"} and checks.where("ref_id = 3").count() == 8
     got = {r["ref_id"]: (r["status"], r["drift"]) for r in verify.status(found, checks).collect()}
     assert got[1] == ("risk", "doi") and got[2] == ("risk", "doi,title") and got[3] == ("risk", "pmid,year") and got[4][0] != "insufficient" and got[5] == ("risk", "doi")
+
+
+def test_all_data_hits_are_ranked_and_all_sources_counted(spark, tmp_path):
+    customers = [(i, f"C{i}", i % 25, float(i // 2), "x") for i in range(10, 85)]
+    d = save(
+        spark,
+        tmp_path,
+        customer=(customers, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        supplier=([(11, "S", 1, 7.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"),
+        part=([(10, "P", 1.0)], "p_partkey long, p_name string, p_retailprice double"),
+        nation=([(10, "N", 1)], "n_nationkey int, n_name string, n_regionkey int"),
+        region=([(10, "R")], "r_regionkey int, r_name string"),
+        orders=([(1, 9.5, datetime.datetime(2006, 1, 2)), (2, 0.5, datetime.datetime(2006, 1, 2)), (3, 9.5, datetime.datetime(1999, 1, 2))], "o_orderkey long, o_totalprice double, o_orderdate timestamp_ntz"),
+    )
+    hits = [("customer", k, int(n)) for k, _, _, n, _ in customers if k % 30 + 1995 >= 2005] + [("supplier", 11, 7)] + [("curated", i, 0) for i in range(1, 26)]
+    order = {"customer": 0, "supplier": 1, "curated": 2}
+    hits.sort(key=lambda x: (-x[2], order[x[0]], x[1]))
+    got = records.datasets_since_type_sort(spark, d).orderBy("rank").collect()
+    assert len(hits) > 50 and [(r["rank"], r["tag"], r["pos"]) for r in got] == [(i, t, p) for i, (t, p, _) in enumerate(hits, 1)]
+    facets = {r["kind"]: (r["hits"], r["cited_hits"]) for r in records.datasets_union_facets(spark, d).collect()}
+    assert facets == {"data": (len(hits), len(hits) - 25), "paper": (3, 2), "trial": (2, 2)}
