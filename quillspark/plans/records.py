@@ -278,7 +278,7 @@ def trial_bridge(spark, d):
     e = _user_events(spark, d)
     named = e.groupBy("user_id", "k").agg(F.min(F.struct("ts", "event_id")).alias("at"))
     p = S.table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
-    found = named.join(p, named["k"] == p["p_partkey"]).where("p_size > 40").withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("at"))).select("user_id", "p_partkey", "pos", F.lit("named").alias("how"))
+    found = named.join(p, named["k"] == p["p_partkey"]).withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("at"))).select("user_id", "p_partkey", "pos", F.lit("named").alias("how"))
     users = e.select("user_id", (F.col("user_id") % 50 + 1).alias("p_size")).distinct()
     dear = top(p, "p_size", 3, F.desc("p_retailprice"), F.asc("p_partkey"))
     other = users.join(dear, "p_size").select("user_id", "p_partkey", F.col("rank").alias("pos"), F.lit("searched").alias("how"))

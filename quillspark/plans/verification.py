@@ -83,9 +83,9 @@ def journal_match(spark, d):
 
 
 def candidate_composite(spark, d):
-    """Candidates of the references without identifiers."""
+    """Candidates of the references without identifiers, in all sources."""
     asked = refs(spark, d).where("cited_doi is null and cited_pmid is null")
-    found = V.title_candidates(asked, _sources(spark, d)[0], k=3)
+    found = V.title_candidates(asked, V.every_work(list(_sources(spark, d))), k=3)
     return found.select("ref_id", "rank", "found.doi", T.rounded(F.col("composite")).alias("composite"), T.rounded(F.col("title_score")).alias("title_score"))
 
 

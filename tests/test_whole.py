@@ -4,7 +4,7 @@ import datetime
 import hashlib
 
 from quillspark.operators import verify
-from quillspark.plans import matching, outputs, records
+from quillspark.plans import matching, outputs, records, verification
 
 
 def save(spark, folder, **tables):
@@ -78,3 +78,24 @@ def test_all_data_hits_are_ranked_and_all_sources_counted(spark, tmp_path):
     assert len(hits) > 50 and [(r["rank"], r["tag"], r["pos"]) for r in got] == [(i, t, p) for i, (t, p, _) in enumerate(hits, 1)]
     facets = {r["kind"]: (r["hits"], r["cited_hits"]) for r in records.datasets_union_facets(spark, d).collect()}
     assert facets == {"data": (len(hits), len(hits) - 25), "paper": (3, 2), "trial": (2, 2)}
+
+
+def test_small_parts_are_named_too(spark, tmp_path):
+    at = datetime.datetime(2020, 1, 1)
+    events = [(1, at, 5, "view", 1.0, '{"k": 10}'), (2, at, 6, "view", 1.0, '{"k": 99}')]
+    parts = [(10, 3, 1.0), (11, 6, 2.0), (12, 7, 3.0)]
+    d = save(spark, tmp_path, events=(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"), part=(parts, "p_partkey long, p_size int, p_retailprice double"))
+    assert sorted(map(tuple, records.trial_bridge(spark, d).select("user_id", "p_partkey", "pos", "how").collect())) == [(5, 10, 1, "named"), (6, 12, 1, "searched")]
+
+
+def test_lists_of_all_references_are_split(spark, tmp_path):
+    d = save(spark, tmp_path, documents=([(i, f"Some words about topic {chr(97 + i % 26) * 6} here", "en", "a", 5) for i in range(40)], DOCUMENTS))
+    got = outputs.ref_split_list(spark, d).groupBy("list_id").count().where(f"list_id >= {len(outputs.LISTS)}").collect()
+    assert sorted(r["count"] for r in got) == [8] * 5
+
+
+def test_candidates_come_from_every_source(spark, tmp_path):
+    d = save(spark, tmp_path, documents=([(i, f"Some words about topic {chr(97 + i % 26) * 6} here", "en", "a", 5) for i in range(240)], DOCUMENTS))
+    held = {i for i in range(240) if i % 6 == 4 and (i % 7 != 6 or i % 5 != 4 or i % 11 == 0 or i % 3 == 0)}
+    first = {r["ref_id"]: r["doi"] for r in verification.candidate_composite(spark, d).where("rank = 1").collect()}
+    assert {i: first.get(i) for i in held} == {i: f"10.1000/doc.{i}" for i in held}
