@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 HELD_OUT = "crc32(cast(coalesce(cast({0} as string), '') as binary)) % 5 = 0"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without that
+    setting gets a folder of its own; on a cluster executors couldn't read that, so it has to be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,10 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Writes df to the shared folder and reads it back: a lost executor costs no recomputation
-    beyond its running tasks, and the shuffle files behind df can go."""
+    beyond its running tasks, and the shuffle files behind df go as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,6 +62,14 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores after it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import free_shuffles, materialize
+from quillspark.llm.common import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,8 +23,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of edges (a, b) reaches; roots themselves have
-    no row. Aggregates run before the shuffle and hot nodes meet in equi-joins, which Spark splits;
-    each round is written to the shared folder, and only a checksum comes back."""
+    no row. Aggregates combine before the shuffle; hot nodes meet in equi-joins with one row a node, of
+    which adaptive execution broadcasts the short side or splits the long one where it is far above the
+    others. Each round is written to the shared folder, and only a checksum comes back."""
 
     def tidy(e: DataFrame) -> DataFrame:
         return e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -36,10 +37,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(tidy(edges), "edges")
     before = sign(now)
     while before[0]:
-        now = materialize(tidy(_small_star(tidy(_large_star(now)))), "edges")
+        old, now = now, materialize(tidy(_small_star(tidy(_large_star(now)))), "edges")
+        release(old)
         after = sign(now)
         if after == before:
             break
         before = after
-        free_shuffles(edges.sparkSession)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

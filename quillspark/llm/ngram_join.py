@@ -5,26 +5,31 @@ that is to share a fraction t of a union, one of the n - ceil(t n) + 1 that come
 order is shared too (the size-derived bound). That order puts shingles that a sketch of fixed size
 counts often last, so that passages which many documents share rarely make candidates.
 
-The nodes with one key and of sizes in one class or the next form a cell; cells with the same nodes
-count once. A cell with much in it is cut into slots, and pairs of slots are its blocks. A block first
-meets small histograms of its sets' hashes, whose overlap is never below that of the sets: pairs that
-fall below the bound even so are discarded, and what still hangs together is a group. Groups that
-share nodes form a cluster, and only sets of clustered nodes are fetched. A cluster's incidence matrix,
-in blocks again, is multiplied with its transpose, some columns at a time, which accumulates the
-overlap counts; pairs below the threshold are discarded. What leaves a block are the links of a
-spanning tree for each of its classes, not all pairs. Classes of the whole table come from connected components over them.
+These keys are dealt out once; a task passes on the nodes that share one and whose sizes are in one
+class or the next, as a group with a name that follows from its members, so that groups with the same
+members count once. A key with more rows than a task should hold is passed on row by row, and Spark
+aggregates its groups; keys that the sketch knows to be so frequent are dealt by key and node.
+
+Two passes then look for what hangs together in a group. The first compares small histograms of the
+sets' hashes, whose overlap is never below that of the sets: pairs that fall below the bound even so
+are discarded, and components of the rest are clusters. Only sets of clustered nodes are fetched, once
+each. The second pass multiplies a cluster's incidence matrix with its transpose, some columns at a
+time, which accumulates the overlap counts. Both compare a group's members with one of them first: what
+is linked to it needs no comparison among itself, so that the block products have a row only for what
+isn't, and a column for each member. Groups too large for a task are cut into slots, and pairs of slots
+are the blocks. What leaves a block are the links of a spanning tree for each of its classes, not all
+pairs. Classes of the whole table come from connected components over them.
 
 Defined results: a text without words, null or empty, has no shingles and its own class; a text of
 one to n - 1 words is one shingle; rows with a null doc_id have a null class and link nothing;
 repeated rows each give a row and link like any; an empty table gives no rows; extra columns are
-not read.
+not read. one_of_each() says what it does to each of these.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
-from quillspark.llm.common import free_shuffles, materialize, partitions, release, table
+from quillspark.llm.common import materialize, partitions, release, table, unused
 from quillspark.llm.components import components
 
 _CELL_BITS = 22
 _CHUNKS = 64
 _BLOCK_NODES, _BLOCK_SHINGLES = 2048, 1_000_000
+#: Rows of one key that a task holds at once.
+_HELD = 4096
+_MEMBER = np.dtype([("node", "<i8"), ("n", "<i4")])
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -55,13 +63,13 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _histogram(values: np.ndarray) -> bytes:
-    """Counts of a set's hashes by their leading bits, in a fourth as many bins (64 at least)."""
+    """A set's size and the counts of its hashes by their leading bits, in a fourth as many bins (64 at least)."""
     bits = max(6, (len(values) // 4).bit_length())
-    return np.minimum(np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+    return np.int64(len(values)).tobytes() + np.minimum(np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
 def nodes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node, histogram) of every row."""
+    """(doc_id, n_shingles, node, payload) of every row; the payload is the set's histogram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,9 +78,9 @@ def nodes(docs: DataFrame, n: int) -> DataFrame:
                 sizes.append(np.diff(offsets))
                 names.append(node)
                 histograms += [_histogram(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(names)), pa.array(histograms, pa.binary())], ["doc_id", "n_shingles", "node", "histogram"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(names)), pa.array(histograms, pa.binary())], ["doc_id", "n_shingles", "node", "payload"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, histogram binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, payload binary")
 
 
 def cell_counts(docs: DataFrame, n: int) -> np.ndarray:
@@ -98,58 +106,162 @@ def cell_counts(docs: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
     schema = "chunk int, counts binary"
-    summed = _texts(docs).mapInArrow(count, schema).repartition(_CHUNKS, "chunk").mapInArrow(add, schema)
-    total = np.zeros((_CHUNKS, part), np.uint16)
+    summed = materialize(_texts(docs).mapInArrow(count, schema).repartition(_CHUNKS, "chunk").mapInArrow(add, schema), "sketch")
+    total = np.zeros((_CHUNKS, part), np.uint32)
     for r in summed.toLocalIterator():  # _CHUNKS rows, of 2 ** _CELL_BITS counts in all
-        total[r["chunk"]] = np.minimum(np.frombuffer(bytes(r["counts"]), np.uint32), 65535)
+        total[r["chunk"]] = np.frombuffer(bytes(r["counts"]), np.uint32)
+    release(summed)
     return total.ravel()
 
 
 def keys(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(key, node, n) for the first shingles of every document's set, rare ones first."""
+    """(place, key, node, n, hot) for the first shingles of every document's set, rare ones first; of
+    documents with one set a task takes the first. Hot keys are those that the sketch counts more often
+    than a task should hold, beyond the mean cell's load; they are dealt by node too."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # of fixed size
+    frequent = _HELD + 4 * int(counts.mean())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for _, values, offsets, node in _sets(batch.column(1), n):
                 sizes = np.diff(offsets)
+                fresh = np.zeros(len(node), bool)
+                for i, x in enumerate(node.tolist()):
+                    if x not in seen:
+                        seen.add(x)
+                        fresh[i] = True
                 doc = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((values, shared.value[(values >> np.uint64(64 - _CELL_BITS)).astype(np.int64)], doc))
+                count = shared.value[(values >> np.uint64(64 - _CELL_BITS)).astype(np.int64)]
+                order = np.lexsort((values, count, doc))
                 place = np.arange(len(values)) - offsets[:-1][doc]
-                first = place < (sizes - (percent * sizes + 99) // 100 + 1)[doc]
-                at = doc[first]
-                yield pa.RecordBatch.from_arrays([pa.array(values[order][first].view(np.int64)), pa.array(node[at]), pa.array(sizes[at].astype(np.int32))], ["key", "node", "n"])
+                first = (place < (sizes - (percent * sizes + 99) // 100 + 1)[doc]) & fresh[doc]
+                at, key = doc[first], values[order][first]
+                hot = count[order][first] > frequent
+                to = np.where(hot, W.mix(key ^ node.view(np.uint64)[at]), key)
+                yield pa.RecordBatch.from_arrays([pa.array(to.view(np.int64)), pa.array(key.view(np.int64)), pa.array(node[at]), pa.array(sizes[at].astype(np.int32)), pa.array(hot)], ["place", "key", "node", "n", "hot"])
+
+    return _texts(docs.where("doc_id is not null")).mapInArrow(run, "place long, key long, node long, n int, hot boolean")
+
+
+def _size_step(percent: int) -> float:
+    return -math.log(percent / 100) if percent < 100 else 1e-9
+
+
+def _cells(key: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, pa.Array]:
+    """(name, members) of the groups among rows sorted by key, n and node."""
+    keep = np.ones(len(key), bool)
+    keep[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node, n = key[keep], node[keep], n[keep]
+    again = np.zeros(len(key) + 1, bool)
+    again[1:-1] = key[1:] == key[:-1]
+    shared = again[1:] | again[:-1]
+    key, node, n = key[shared], node[shared], n[shared]
+    own = np.floor(np.log(np.maximum(n, 1)) / _size_step(percent) + 1e-9).astype(np.int64)
+    cell, top = np.concatenate([own, own + 1]), np.arange(2 * len(own)) < len(own)
+    key, node, n = np.tile(key, 2), np.tile(node, 2), np.tile(n, 2)
+    order = np.lexsort((node, cell, key))
+    key, cell, top, node, n = key[order], cell[order], top[order], node[order], n[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])
+    starts = np.flatnonzero(fresh)
+    if not len(starts):
+        return np.zeros(0, np.int64), pa.array([], pa.binary())
+    counts = np.diff(np.append(starts, len(key)))
+    names = W.mix(np.add.reduceat(W.mix(node.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)), starts) + counts.astype(np.uint64))
+    good = (counts > 1) & np.logical_or.reduceat(top, starts)
+    _, once = np.unique(names[good], return_index=True)
+    at = np.flatnonzero(good)[once]
+    members = np.zeros(len(node), _MEMBER)
+    members["node"], members["n"] = node, n
+    picked = np.repeat(starts[at] - np.concatenate([[0], np.cumsum(counts[at])[:-1]]), counts[at]) + np.arange(counts[at].sum()) if len(at) else np.zeros(0, np.int64)
+    offsets = np.concatenate([[0], np.cumsum(counts[at])]).astype(np.int32) * _MEMBER.itemsize
+    body = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(members[picked].tobytes())])
+    return names[at].view(np.int64), body
+
+
+def shared_keys(prefix: DataFrame, percent: int) -> DataFrame:
+    """What keys() is good for, by one shuffle: rows (name, members) of groups, and rows (key, node, n) of
+    keys with more than _HELD rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["name", "members", "key", "node", "n"]
+        none = np.zeros(0, np.int64)
+        held = [none, none, none.astype(np.int32), none.astype(bool)]
+        passing: int | None = None
+
+        def settle(key: np.ndarray, node: np.ndarray, n: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+            _, run_of, count = np.unique(key, return_inverse=True, return_counts=True)
+            on = hot | (count[run_of] > _HELD)
+            if passing is not None:
+                on |= key == passing
+            group, members = _cells(key[~on], node[~on], n[~on], percent)
+            if len(group):
+                yield pa.RecordBatch.from_arrays([pa.array(group), members, *(pa.nulls(len(group), t) for t in (pa.int64(), pa.int64(), pa.int32()))], names)
+            if on.any():
+                yield pa.RecordBatch.from_arrays([pa.nulls(int(on.sum()), pa.int64()), pa.nulls(int(on.sum()), pa.binary()), pa.array(key[on]), pa.array(node[on]), pa.array(n[on])], names)
+
+        for batch in batches:
+            now = [np.concatenate([h, batch.column(k + 1).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)]
+            if not len(now[0]):
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            last = int(now[0][-1])
+            if len(now[0]) - cut > _HELD:  # too many to wait for the key's end
+                yield from settle(*(x[:cut] for x in now))
+                passing = last
+                yield from settle(*(x[cut:] for x in now))
+                held = [x[:0] for x in now]
+                continue
+            yield from settle(*(x[:cut] for x in now))
+            held = [x[cut:] for x in now]
+        yield from settle(*held)
+
+    dealt = prefix.repartition(partitions(prefix.sparkSession), "place").sortWithinPartitions("key", "n", "node")
+    return dealt.mapInArrow(run, "name long, members binary, key long, node long, n int")
 
-    return _texts(docs.where("doc_id is not null")).mapInArrow(run, "key long, node long, n int")
 
+def _slots(count, size):
+    return F.greatest(F.ceil(count / _BLOCK_NODES), F.ceil(size / _BLOCK_SHINGLES), F.lit(1)).cast("int")
 
-def _members(*by: str):
-    """Aggregates that tell a group's nodes from another's, whatever their multiplicity, and its size."""
+
+def _frequent_cells(rows: DataFrame, percent: int) -> DataFrame:
+    """(group, slots, node) of the cells of frequent keys, by aggregates that combine before the shuffle."""
     h = [F.pmod(F.xxhash64(F.lit(k), "node"), F.lit(1 << 40)) for k in (1, 2)]
-    return [F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(h[0]).alias("s1"), F.sum(h[1]).alias("s2"), F.sum("n").alias("size")]
+    members = [F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(h[0]).alias("s1"), F.sum(h[1]).alias("s2"), F.sum("n").alias("size")]
+    own = F.floor(F.log(F.col("n").cast("double")) / _size_step(percent) + 1e-9).cast("int")
+    rows = rows.distinct().withColumn("own", own).withColumn("cell", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    groups = rows.groupBy("key", "cell").agg(*members, F.max(F.col("own") == F.col("cell")).alias("top")).where("lo <> hi and top")
+    groups = groups.groupBy("lo", "hi", "m", "s1", "s2").agg(F.min(F.struct("key", "cell", "size")).alias("g")).select("g.key", "g.cell", _slots(F.col("m"), F.col("g.size")).alias("slots"))
+    return rows.join(groups, ["key", "cell"]).select(F.xxhash64("key", "cell").alias("group"), "slots", "node")
 
 
 def cells(prefix: DataFrame, percent: int) -> DataFrame:
-    """(key, cell, slots, node, n): the members of the cells that may hold a pair."""
-    found = prefix.groupBy("key").agg(*_members()).where("lo <> hi")
-    kept = materialize(found.groupBy("lo", "hi", "m", "s1", "s2").agg(F.min("key").alias("key")).select("key"), "keys")
-    free_shuffles(prefix.sparkSession)
-    rows = materialize(prefix.join(kept, "key", "left_semi").distinct(), "candidates")
-    free_shuffles(prefix.sparkSession)
-    step = -math.log(percent / 100) if percent < 100 else 1e-9
-    size_class = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")
-    rows = rows.withColumn("own", size_class).withColumn("cell", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    groups = rows.groupBy("key", "cell").agg(*_members(), F.max(F.col("own") == F.col("cell")).alias("top")).where("lo <> hi and top")
-    groups = groups.groupBy("lo", "hi", "m", "s1", "s2").agg(F.min(F.struct("key", "cell", "size")).alias("g")).select(
-        "g.key", "g.cell", F.greatest(F.ceil(F.col("m") / _BLOCK_NODES), F.ceil(F.col("g.size") / _BLOCK_SHINGLES)).cast("int").alias("slots")
-    )
-    return materialize(rows.join(groups, ["key", "cell"]).select("key", "cell", "slots", "node", "n"), "cells")
+    """(group, slots, node): the members of the groups that may hold a link."""
+    found = materialize(shared_keys(prefix, percent), "keys")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.frombuffer(x, _MEMBER) for x in batch.column(1).to_pylist()]
+            counts = np.array([len(x) for x in lists], np.int64)
+            slots = np.array([max(-(-len(x) // _BLOCK_NODES), -(-int(x["n"].sum()) // _BLOCK_SHINGLES), 1) for x in lists], np.int32)
+            every = np.concatenate([x["node"] for x in lists]) if lists else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)), pa.array(np.repeat(slots, counts)), pa.array(every)], ["group", "slots", "node"])
+
+    out = found.where("members is not null").select("name", "members").dropDuplicates(["name"]).mapInArrow(explode, "group long, slots int, node long")
+    frequent = found.where("members is null").select("key", "node", "n")
+    if not frequent.isEmpty():
+        out = out.unionByName(_frequent_cells(frequent, percent))
+    out = materialize(out, "cells")
+    release(found)
+    return out
 
 
 def product(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, percent: int) -> np.ndarray:
     """Links between rows and columns, which are lists of positions in sets: the incidence matrices'
-    product, accumulated over stretches of n-grams."""
-    sizes = np.array([len(s) for s in sets])
+    product, accumulated over stretches of n-grams that two sets have. Sums of ones in single precision
+    are exact up to 2 ** 24 shingles, and no text has as many."""
+    sizes = np.array([len(s) for s in sets], np.int64)
     _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
     keep = df[column] > 1
@@ -164,12 +276,15 @@ def product(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, perce
         incidence = np.zeros((len(sets), width), np.float32)
         incidence[owner[a:b], column[a:b] - first] = 1
         overlap += incidence[rows] @ incidence[columns].T
-    union = sizes[rows][:, None] + sizes[columns][None, :] - overlap
-    return 100 * overlap >= percent * union
+    shared = overlap.astype(np.int64)
+    return 100 * shared >= percent * (sizes[rows][:, None] + sizes[columns][None, :] - shared)
 
 
-def bounds(histograms: list[np.ndarray], sizes: np.ndarray, rows: np.ndarray, columns: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs whose histograms leave room for enough overlap: smaller counts of each bin, added up."""
+def bounds(sized: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs whose histograms (after their set's size, eight bytes) leave room for enough overlap: smaller
+    counts of each bin, added up."""
+    sizes = np.array([int(x[:8].view(np.int64)[0]) for x in sized])
+    histograms = [x[8:] for x in sized]
     least = min(len(h) for h in histograms)
     folded = np.stack([h.reshape(least, -1).sum(axis=1, dtype=np.uint16) for h in histograms])
     right = folded[columns]
@@ -218,120 +333,145 @@ def _by_group(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple[t
         yield now, rows
 
 
-def groups(members: DataFrame, histograms: DataFrame, percent: int) -> DataFrame:
-    """(gid, node): what the bound leaves together in the blocks of cells; histograms has (node, histogram)."""
+def _tree(names: list[int], payloads: list[np.ndarray], left: np.ndarray, right: np.ndarray, test: Callable, percent: int) -> list[tuple[int, int]]:
+    """Links of a spanning tree of each class that test() finds between left and right positions."""
+    linked = test(payloads, left, right, percent)
+    name = np.array(names, np.int64)
+    linked |= name[left][:, None] == name[right][None, :]
+    return [(names[m[0]], names[x]) for m in _classes(linked, left, right, len(names)) for x in m[1:] if names[x] != names[m[0]]]
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.int64())], ["a", "b"])
+
+
+def together(members: DataFrame, payloads: DataFrame, dtype: type, test: Callable, percent: int) -> DataFrame:
+    """(a, b): what test() links in the groups of members (group, slots, node), a spanning tree for each
+    class; payloads has (node, payload), an array of dtype."""
+    count = partitions(members.sparkSession)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_group(batches, 1):
+            once = dict(rows)  # copies of a node once
+            names, sets = list(once), [np.frombuffer(x, dtype) for x in once.values()]
+            every = np.arange(len(names))
+            first = test(sets, every[:1], every, percent)[0]
+            first[0] = True
+            # What is linked to the first one needs no comparison among itself.
+            rest = np.flatnonzero(~first)
+            found = [(names[0], names[x]) for x in np.flatnonzero(first)[1:]]
+            if len(rest):
+                found += _tree(names, sets, rest, every, test, percent)
+            if found:
+                yield _edges(found)
+
+    small = members.where("slots = 1").select("group", "node").join(payloads, "node").select("group", "node", "payload")
+    out = small.repartition(count, "group").sortWithinPartitions("group", "node").mapInArrow(whole, "a long, b long")
+    large = members.where("slots > 1")
+    if large.isEmpty():
+        return out
     slot = F.pmod(F.xxhash64("node"), F.col("slots")).cast("int")
-    dealt = (
-        members.withColumn("slot", slot)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-        .join(histograms, "node")
-        .select("key", "cell", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"), "slot", "node", "n", "histogram")
-        .repartition(partitions(members.sparkSession), "key", "cell", "lo", "hi")
-        .sortWithinPartitions("key", "cell", "lo", "hi", "node")
-    )
+    rows = materialize(large.distinct().join(payloads, "node").dropDuplicates(["group", "node"]).select("group", "slots", slot.alias("slot"), "node", "payload"), "large")
+    # A leader travels once to each slot of its group, so that no task gets a whole group.
+    leaders = rows.groupBy("group").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "payload")).alias("l"), F.max("slots").alias("slots"))
+    leaders = leaders.select("group", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.col("l.node").alias("leader"), F.col("l.payload").alias("of_leader"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gids, names = [], []
-        for (_, _, lo, hi), rows in _by_group(batches, 4):
-            rows = list({r[1]: r for r in rows}.values())  # copies of a node once
-            where = np.array([r[0] for r in rows])
-            left, right = np.flatnonzero(where == lo), np.flatnonzero(where == hi)
-            if len(rows) < 2 or not len(left) or not len(right):
-                continue
-            linked = bounds([np.frombuffer(r[3], np.uint8) for r in rows], np.array([r[2] for r in rows], np.int64), left, right, percent)
-            if lo == hi:
-                np.fill_diagonal(linked, False)
-            node = np.array([r[1] for r in rows], np.int64)
-            for m in _classes(linked, left, right, len(rows)):
-                found = np.sort(node[m])
-                gid = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "big", signed=True)
-                gids += [gid] * len(found)
-                names += found.tolist()
-            if len(gids) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), pa.array(names, pa.int64())], ["gid", "node"])
-                gids, names = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), pa.array(names, pa.int64())], ["gid", "node"])
-
-    return dealt.mapInArrow(run, "gid long, node long").distinct()
-
-
-def clusters(grouped: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(cluster, slots, node): groups that share nodes together, so that a set travels once and not for
-    every group; sizes has (node, n_shingles)."""
-    least = grouped.groupBy("gid").agg(F.min("node").alias("least"))
-    roots = components(grouped.join(least, "gid").select(F.col("node").alias("a"), F.col("least").alias("b")))
-    members = grouped.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("cluster"))
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = (np.array([0]), np.array([1]))
+        for batch in batches:
+            held = [bool(test([np.frombuffer(a, dtype), np.frombuffer(b, dtype)], *pair, percent)[0, 0]) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)] + [pa.array(held, pa.bool_())], ["group", "slot", "node", "leader", "linked"])
+
+    met = rows.join(leaders, ["group", "slot"]).select("group", "slot", "node", "leader", "payload", "of_leader")
+    met = materialize(met.mapInArrow(meet, "group long, slot int, node long, leader long, linked boolean"), "leaders")
+    out = out.unionByName(met.where("linked and node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    rest = met.where("not linked and node <> leader").select("group", "node")
+    if rest.isEmpty():
+        return out
+    size = rest.join(rows, ["group", "node"]).groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("payload") / 8).alias("size"), F.max("slots").alias("slots"))
+    size = materialize(size.select("group", "slots", _slots(F.col("m"), F.col("size")).alias("strips")), "strips")
+    strip = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("strips")).cast("int")
+    left = rest.join(rows.select("group", "node", "payload"), ["group", "node"]).join(size, "group").select("group", strip.alias("strip"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(0).alias("side"), "node", "payload")
+    right = rows.join(size.select("group", "strips"), "group").select("group", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("strip"), "slot", F.lit(1).alias("side"), "node", "payload")
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in _by_group(batches, 3):
+            side = np.array([r[0] for r in found])
+            pairs = _tree([r[1] for r in found], [np.frombuffer(r[2], dtype) for r in found], np.flatnonzero(side == 0), np.flatnonzero(side == 1), test, percent)
+            if pairs:
+                yield _edges(pairs)
+
+    blocks = left.unionByName(right).repartition(count, "group", "strip", "slot").sortWithinPartitions("group", "strip", "slot", "side", "node")
+    return out.unionByName(blocks.mapInArrow(block, "a long, b long"))
+
+
+def clusters(close: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(group, slots, node): components of the pairs (a, b), so that a set travels once and not for every
+    group; sizes has (node, n_shingles)."""
+    roots = components(close)
+    members = roots.select("node", F.col("root").alias("group")).unionByName(roots.select(F.col("root").alias("node"), F.col("root").alias("group")).distinct())
     members = materialize(members.join(sizes, "node"), "clusters")
-    slots = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / _BLOCK_NODES), F.ceil(F.sum("n_shingles") / _BLOCK_SHINGLES)).cast("int").alias("slots"))
-    return members.join(slots, "cluster").select("cluster", "slots", "node")
+    slots = members.groupBy("group").agg(_slots(F.count(F.lit(1)), F.sum("n_shingles")).alias("slots"))
+    return members.join(slots, "group").select("group", "slots", "node")
 
 
-def links(clustered: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): nodes of one class, a spanning tree for each class of a block; sets has (node, shingles)."""
-    slot = F.pmod(F.xxhash64("node"), F.col("slots")).cast("int")
-    dealt = (
-        clustered.join(sets, "node")
-        .withColumn("slot", slot)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-        .select("cluster", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"), "slot", "node", "shingles")
-        .repartition(partitions(clustered.sparkSession), "cluster", "lo", "hi")
-        .sortWithinPartitions("cluster", "lo", "hi", "node")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, lo, hi), rows in _by_group(batches, 3):
-            rows = list({r[1]: r for r in rows}.values())  # copies of a node once
-            where = np.array([r[0] for r in rows])
-            left, right = np.flatnonzero(where == lo), np.flatnonzero(where == hi)
-            if len(rows) < 2 or not len(left) or not len(right):
-                continue
-            linked = product([np.frombuffer(r[2], np.uint64) for r in rows], left, right, percent)
-            tree = [(rows[m[0]][1], rows[x][1]) for m in _classes(linked, left, right, len(rows)) for x in m[1:]]
-            if tree:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in tree], pa.int64()), pa.array([x for _, x in tree], pa.int64())], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
+def classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, node, component_id) of every row of docs (doc_id, text)."""
     base = materialize(nodes(docs, n), "nodes")
-    prefix = materialize(keys(docs, n, percent, cell_counts(docs, n)), "prefix")
-    members = cells(prefix, percent)
+    members = cells(keys(docs, n, percent, cell_counts(docs, n)), percent)
     named = base.where("n_shingles > 0 and doc_id is not null")
-    grouped = materialize(groups(members, named.select("node", "histogram").dropDuplicates(["node"]), percent), "groups")
-    release(prefix)
+    histograms = named.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("payload").alias("payload"))
+    close = materialize(together(members, histograms, np.uint8, bounds, percent), "close")
     release(members)
-    free_shuffles(docs.sparkSession)
-    wanted = grouped.select("node").distinct()
-    first = base.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = first.join(wanted, "node", "left_semi").select("doc_id")
+    first = materialize(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles")), "names")
+    clustered = materialize(clusters(close, first.select("node", "n_shingles")), "clustered")
+    release(close)
+    wanted = first.join(clustered, "node", "left_semi").select("doc_id")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, values, offsets, node in _sets(batch.column(1), n):
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["node", "payload"])
 
-    sets = materialize(_texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(shingles, "node long, shingles binary"), "sets")
-    free_shuffles(docs.sparkSession)
-    found = materialize(links(clusters(grouped, named.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))), sets, percent), "links")
-    release(sets)
-    free_shuffles(docs.sparkSession)
+    sets = materialize(_texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(shingles, "node long, payload binary"), "sets")
+    found = materialize(together(clustered, sets, np.uint64, product, percent), "links")
+    for done in (sets, clustered):
+        release(done)
     # Nodes get the smallest doc_id of their documents as name before the classes are sought.
-    named = first.withColumnRenamed("doc_id", "name")
-    edges = found.join(named.select(F.col("node").alias("a"), F.col("name").alias("an")), "a").join(named.select(F.col("node").alias("b"), F.col("name").alias("bn")), "b")
+    names = first.select("node", F.col("doc_id").alias("name"))
+    edges = found.join(names.select(F.col("node").alias("a"), F.col("name").alias("an")), "a").join(names.select(F.col("node").alias("b"), F.col("name").alias("bn")), "b")
     roots = components(edges.select(F.col("an").alias("a"), F.col("bn").alias("b")))
-    named = named.join(roots.withColumnRenamed("node", "name"), "name", "left").select("node", F.coalesce("root", "name").alias("class_id"))
+    release(found)
+    names = names.join(roots.withColumnRenamed("node", "name"), "name", "left").select("node", F.coalesce("root", "name").alias("class_id"))
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    return base.join(named, "node", "left").select("doc_id", "n_shingles", F.when(linked, F.col("class_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return base.drop("payload").join(names, "node", "left").select("doc_id", "n_shingles", "node", F.when(linked, F.col("class_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
+    return classes(docs, n, percent).drop("node")
 
 
 def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """docs with the smallest doc_id of each class only; repeated rows of one doc_id and text become
-    one, rows with a null doc_id stay."""
-    dropped = join(docs, n, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    kept = docs.join(dropped, docs["doc_id"].cast("long") == dropped["dropped_id"], "left_anti")
-    return kept.withColumn("text_hash_of_row", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash_of_row"]).drop("text_hash_of_row")
+    """docs with the smallest doc_id of each class only. Rows are dropped by doc_id and set, so of rows
+    that share a doc_id each goes or stays by its own text; equal sets of one doc_id become one row. Rows
+    with a null doc_id, and rows without words, all stay. Columns keep their names, whatever they are."""
+    found = materialize(classes(docs, n, percent).where("doc_id is not null and n_shingles > 0"), "classes")
+    marks = found.groupBy("doc_id", "node").agg((F.first("component_id") != F.col("doc_id")).alias("dropped"), (F.count(F.lit(1)) > 1).alias("repeated")).where("dropped or repeated")
+    own, node, dropped, repeated = (unused(x, docs.columns) for x in ("own_id", "node", "dropped", "repeated"))
+    marks = marks.select(F.col("doc_id").alias(own), F.col("node").alias(f"{node}_"), F.col("dropped").alias(dropped), F.col("repeated").alias(repeated))
+
+    @F.arrow_udf("long")
+    def node_of(texts: pa.Array) -> pa.Array:
+        out = [np.zeros(0, np.int64)]
+        for _, _, _, names in _sets(texts, n):
+            out.append(names)
+        return pa.array(np.concatenate(out))
+
+    rows = docs.withColumn(node, node_of(F.col("text").cast("string")))
+    rows = rows.join(marks, (rows["doc_id"].cast("long") == marks[own]) & (rows[node] == marks[f"{node}_"]), "left").where(~F.coalesce(F.col(dropped), F.lit(False)))
+    once = rows.where(F.coalesce(F.col(repeated), F.lit(False))).dropDuplicates([own, node])
+    return rows.where(~F.coalesce(F.col(repeated), F.lit(False))).unionByName(once).select(*docs.columns)
 
 
 def components_of_documents(spark, sf_dir: str) -> DataFrame:

@@ -162,9 +162,11 @@ def brute_classes(rows, n, percent):
     return [(i, len(s), find(i) if i is not None else None) for i, s in sets]
 
 
-@pytest.mark.parametrize("slots", [2048, 3])
-def test_ngram_join(spark, docs, empty, monkeypatch, slots):
+@pytest.mark.parametrize(("slots", "held"), [(2048, 4096), (3, 2)])
+def test_ngram_join(spark, docs, empty, monkeypatch, slots, held):
+    """As it runs, and with room for three nodes in a block and for two rows of a key in a task."""
     monkeypatch.setattr(ngram_join, "_BLOCK_NODES", slots)
+    monkeypatch.setattr(ngram_join, "_HELD", held)
     got = [tuple(r) for r in ngram_join.join(docs).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, brute_classes(corpus(), 4, 85)))
     if slots > 3:
@@ -173,6 +175,11 @@ def test_ngram_join(spark, docs, empty, monkeypatch, slots):
         classes = {c for i, _, c in brute_classes(corpus(), 5, 80) if i is not None}
         assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted(classes)
         assert kept.columns == docs.columns
+        # No row without an id or without words goes; equal rows of one id become one.
+        assert kept.where("doc_id is null").count() == 1 and {0, 1, 2} <= {r["doc_id"] for r in kept.collect()}
+        twice = docs.where("doc_id in (3, 4)").withColumn("text", F.lit("same words for both of these rows"))
+        again = ngram_join.one_of_each(twice.unionByName(twice).unionByName(docs.where("doc_id = 3")), 5, 80).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in again) == [(3, "one"), (3, "same words for both of these rows")]
 
 
 def test_components(spark):
