@@ -6,9 +6,10 @@ stay), and of a word's repetition. A score is the sparse dot product of those fr
 weights, through the logistic function.
 
 The fit sees at most max_train labelled rows (by hash of doc_id, of the rows outside the held-out
-fold), in one task; everything else covers all rows. Defined results: a null text counts as empty
-and has the bias alone; without labelled rows every score is 0.5; labels that are null are not
-learned from; repeated label rows count repeatedly; extra columns are not read.
+fold), in one task to which only these rows are sent; everything else covers all rows. Defined results:
+a null text counts as empty and has the bias alone; without labelled rows every score is 0.5; labels that
+are null are not learned from; repeated label rows count repeatedly, repeated documents each give a row;
+an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -99,22 +100,27 @@ def fit(examples: Iterator[tuple[np.ndarray, int]], epochs: int = 4, alpha: floa
     return weights(np.arange(_SIZE + 1))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
-    """(order, label, text) of at most `most` labelled documents outside the held-out fold. The bounded
-    list of ids is what gets broadcast."""
-    picked = (
+def picked(labels: DataFrame, column: str, most: int) -> DataFrame:
+    """(order, doc_id, label) of at most `most` labels outside the held-out fold."""
+    return (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
         .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
         .select(F.xxhash64("doc_id").alias("order"), "doc_id", "label")
         .orderBy("order", "doc_id", "label")
         .limit(most)
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("order", "label", "text")
+
+
+def sample_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(order, label, text) of the picked labels' documents in one partition. All tasks look for them in
+    the documents, by the broadcast list of bounded length; only what they find is sent to one."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(labels), "doc_id").select("order", "label", "text").repartition(1).sortWithinPartitions("order", "label", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", max_train: int = 6000) -> np.ndarray:
     """Weights, fitted in one task on the bounded sample."""
-    sample = labelled_sample(docs, labels, column, max_train).coalesce(1).sortWithinPartitions("order", "label", "text")
+    sample = sample_of(docs, picked(labels, column, max_train))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def examples():

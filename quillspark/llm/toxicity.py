@@ -2,21 +2,23 @@
 
 Two states, plain and toxic. A word's emission is the sum of learned weights of its hashed features
 (the word, without case and outer punctuation, its prefixes of three to six bytes and its suffixes
-of three and four); transitions are learned with them by gradient ascent on the conditional
-likelihood. Forward-backward gives each word's marginal probability of being toxic. A document's
-score is the logistic of a line, fitted to the labels, of the log odds that at least one word is
-toxic; runs of words with a marginal of at least a half are its offending spans.
+of three and four), learned by gradient ascent on the conditional likelihood; the transitions stay at
+the smoothed frequencies of the labels of neighbouring words. Forward-backward gives each word's marginal
+probability of being toxic. A document's score is the logistic of a line, fitted to the labels, of two
+figures of its marginals: the log odds that at least one word is toxic, and the log of the share of
+words expected to be. Runs of words with a marginal of at least a half are its offending spans.
 
 Labels mark documents, so the training words get theirs from the features: a word of a toxic
-document is labelled toxic if one of its features is far commoner in toxic documents than in
-others, by a likelihood ratio test. Copies of a document count once there, so that their other
-words aren't taken for toxic.
+document is labelled toxic if one of its features occurs in more toxic documents than chance explains,
+at a false discovery rate over all features, and is far commoner there than elsewhere. That rule has no
+figure that depends on the number of labels. Copies of a document count once there, so that their
+other words aren't taken for toxic.
 
 The fit sees at most max_train toxic and twice as many other labelled rows (by hash of doc_id, outside
-the held-out fold), in one task; everything else covers all rows and whole texts. Defined results:
-a null text counts as empty and scores as a document without toxic words; without toxic labels all
-scores are below 0.5; null labels are not learned from; repeated rows each give a row; extra
-columns are not read.
+the held-out fold), in one task to which only these rows are sent; everything else covers all rows and
+whole texts. Defined results: a null text counts as empty and scores as a document without toxic words;
+without toxic labels all scores are below 0.5; null labels are not learned from; repeated rows each give
+a row; an empty table gives no rows; extra columns are not read. reject() keeps rows whose text is null.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
 from quillspark.llm.common import held_out, table
-from quillspark.llm.quality import labelled_sample
+from quillspark.llm.quality import picked, sample_of
 
 BITS = 18
 _SIZE = 1 << BITS
@@ -130,51 +132,102 @@ def marginals(emission: np.ndarray, offsets: np.ndarray, transition: np.ndarray)
 
 
 def evidence(marginal: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Log odds that at least one word is toxic, for each document."""
+    """Two figures for each document: log odds that at least one word is toxic, and the log of the share
+    of words expected to be, as if ten plain words came with every document."""
     none = np.concatenate([[0.0], np.cumsum(np.log1p(-np.minimum(marginal, 1 - 1e-9)))])
     q = np.clip(none[offsets[1:]] - none[offsets[:-1]], -30, -1e-12)
-    return np.log(-np.expm1(q)) - q
+    sums = np.concatenate([[0.0], np.cumsum(marginal)])
+    share = (sums[offsets[1:]] - sums[offsets[:-1]] + 1e-4) / (np.diff(offsets) + 10)
+    return np.stack([np.clip(np.log(-np.expm1(q)) - q, -12, 12), np.log(np.clip(share, 1e-6, 1))], axis=1)
 
 
 def document_scores(model: dict[str, np.ndarray], marginal: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(model["line"][0] + model["line"][1] * np.clip(evidence(marginal, offsets), -12, 12), -35, 35)))
-
-
-def _marked(index: np.ndarray, doc: np.ndarray, toxic: np.ndarray, least_g2: float = 30.0, purity: float = 20.0) -> np.ndarray:
-    """Words of toxic documents with a feature that marks them: its share of toxic documents is at
-    least purity times that of others, and the likelihood ratio test against equal shares exceeds
-    least_g2. Documents that share their smallest word hash, as copies do, count once."""
-    sketch = np.full(len(toxic), _SIZE, np.int64)
-    np.minimum.at(sketch, doc, index[:, 0])
-    _, group = np.unique(sketch * 2 + toxic, return_inverse=True)
+    x = model["line"][0] + evidence(marginal, offsets) @ model["line"][1:]
+    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
+
+
+def copies(index: np.ndarray, offsets: np.ndarray, bands: int = 4, rows: int = 8) -> np.ndarray:
+    """A group for each document: documents whose sets of words agree in a whole band of minima are
+    copies of each other. Empty documents have none."""
+    count = len(offsets) - 1
+    doc = np.repeat(np.arange(count), np.diff(offsets))
+    group = np.arange(count)
+    word = index[:, 0].astype(np.uint64)
+    for band in range(bands):
+        sketch = np.zeros(count, np.uint64)
+        for row in range(rows):
+            least = np.full(count, np.uint64(2**64 - 1), np.uint64)
+            np.minimum.at(least, doc, W.mix(word + np.uint64((band * rows + row + 1) << 32)))
+            sketch = W.mix(sketch * np.uint64(31) + least)
+        sketch = np.where(np.diff(offsets) > 0, sketch, np.arange(count).astype(np.uint64))
+        _, first, at = np.unique(sketch, return_index=True, return_inverse=True)
+        for _ in range(bands):  # hands the smallest number through
+            low = np.full(len(first), count)
+            np.minimum.at(low, at, group)
+            group = np.minimum(group, low[at])
+    return group
+
+
+def _chance(k1: np.ndarray, k: np.ndarray, n1: int, n: int) -> np.ndarray:
+    """Probability that k1 or more of k documents are among n1 of n by chance (hypergeometric)."""
+    log = np.concatenate([[0.0, 0.0], np.cumsum(np.log(np.arange(2, n + 2)))])  # of factorials
+
+    def choose(a, b):
+        return log[a] - log[b] - log[a - b]
+
+    total, base = np.zeros(len(k)), choose(np.full(len(k), n), k)
+    for more in range(n1 + 1):
+        x = k1 + more
+        on = np.flatnonzero((x <= np.minimum(k, n1)) & (k - x <= n - n1))
+        if not len(on):
+            break
+        term = np.exp(choose(np.full(len(on), n1), x[on]) + choose(np.full(len(on), n - n1), k[on] - x[on]) - base[on])
+        total[on] += term
+        if (term <= 1e-12 * total[on]).all():
+            break
+    return np.minimum(total, 1.0)
+
+
+def _marked(index: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, rate: float = 0.2, purity: float = 10.0) -> np.ndarray:
+    """Words of toxic documents with a feature that marks them. Marks are the features that occur in
+    more toxic documents than chance explains, at a false discovery rate over all features of two or
+    more documents (so that few labels have to agree better, and many may differ more), and whose share
+    of the words of toxic documents is at least purity times that of others. Copies count once."""
+    doc = np.repeat(np.arange(len(toxic)), np.diff(offsets))
+    _, group = np.unique(copies(index, offsets) * 2 + toxic, return_inverse=True)
     of_toxic = np.zeros(group.max() + 1, bool)
     of_toxic[group] = toxic
-    seen = np.unique(np.concatenate([group[doc].astype(np.int64) * _SIZE + index[:, k] for k in range(index.shape[1])]))
+    first = np.zeros(len(toxic), bool)
+    first[np.unique(group, return_index=True)[1]] = True
+    at = first[doc]
+    seen = np.unique(np.concatenate([group[doc[at]].astype(np.int64) * _SIZE + index[at, k] for k in range(index.shape[1])]))
     of, feature = of_toxic[seen // _SIZE], seen % _SIZE
-    n1, n0 = float(of_toxic.sum()), float((~of_toxic).sum())
-    k1 = np.bincount(feature[of], minlength=_SIZE).astype(float)
-    k0 = np.bincount(feature[~of], minlength=_SIZE).astype(float)
-
-    def part(k: np.ndarray, n: float) -> np.ndarray:
-        e = (k1 + k0) * n / (n0 + n1)
-        return k * np.log(np.maximum(k, 1) / np.maximum(e, 1e-12)) + (n - k) * np.log(np.maximum(n - k, 1e-12) / np.maximum(n - e, 1e-12))
-
-    marks = (2 * (part(k1, n1) + part(k0, n0)) > least_g2) & (k1 * max(n0, 1.0) >= purity * k0 * n1)
+    n1, n = int(of_toxic.sum()), len(of_toxic)
+    k1 = np.bincount(feature[of], minlength=_SIZE)
+    every = k1 + np.bincount(feature[~of], minlength=_SIZE)
+    tested = np.flatnonzero(every >= 2)
+    chance = np.ones(_SIZE)
+    chance[tested] = _chance(k1[tested], every[tested], n1, n)
+    order = tested[np.argsort(chance[tested], kind="stable")]
+    passed = np.flatnonzero(chance[order] <= rate * np.arange(1, len(order) + 1) / max(len(order), 1))
+    marks = np.zeros(_SIZE, bool)
+    marks[order[: passed[-1] + 1 if len(passed) else 0]] = True
+    words = toxic[doc[at]]
+    inside, outside = (np.bincount(index[at][w].ravel(), minlength=_SIZE) / max(int(w.sum()), 1) for w in (words, ~words))
+    marks &= inside >= purity * outside
     return toxic[doc] & marks[index].any(axis=1)
 
 
 def fit(index: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, epochs: int = 25, rate: float = 0.5, decay: float = 1e-4) -> dict[str, np.ndarray]:
     """Model from the words' features, the documents' word offsets and labels."""
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     weights, transition = np.zeros(_SIZE), np.zeros((2, 2))
     bias = -3.0
     if len(index) and toxic.any():
-        truth = _marked(index, doc, toxic)
+        truth = _marked(index, offsets, toxic)
         y = truth.astype(float)
         first = np.zeros(len(y), bool)
         first[offsets[:-1][np.diff(offsets) > 0]] = True
         before = np.roll(truth, 1)
-        # Transitions at their smoothed relative frequency; emissions then follow the likelihood's gradient.
         pairs = np.array([[np.sum((before == i) & (truth == j) & ~first) for j in (False, True)] for i in (False, True)], float) + [[1, 0.5], [0.5, 0.5]]
         transition = np.log(pairs / pairs.sum(axis=1, keepdims=True))
         sums, bias_sum = np.full(_SIZE, 1e-8), 1e-8
@@ -188,26 +241,27 @@ def fit(index: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, epochs: int =
             bias_sum += total * total
             bias += rate * total / np.sqrt(bias_sum)
     model = {"weights": weights, "transition": transition, "bias": np.array([bias])}
-    x = evidence(marginals(weights[index].sum(axis=1) + bias, offsets, transition), offsets) if len(offsets) > 1 else np.zeros(0)
-    line = np.array([-2.0, 0.25])
-    y = toxic.astype(float)
+    line = np.array([-2.0, 0.25, 0.0])
     if toxic.any() and not toxic.all():
-        design = np.stack([np.ones(len(x)), np.clip(x, -12, 12)], axis=1)
-        line = np.zeros(2)
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-design @ line))
-            line += np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2), design.T @ (y - p) - 1e-3 * line)
+        y = toxic.astype(float)
+        x = evidence(marginals(weights[index].sum(axis=1) + bias, offsets, transition), offsets)
+        middle, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
+        design = np.concatenate([np.ones((len(x), 1)), (x - middle) / spread], axis=1)
+        line = np.zeros(3)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(design @ line, -35, 35)))
+            line += np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(3), design.T @ (y - p) - 0.1 * line)
+        line = np.append(line[0] - (line[1:] * middle / spread).sum(), line[1:] / spread)
     return model | {"line": line}
 
 
-_PARTS = {"weights": (_SIZE,), "transition": (2, 2), "bias": (1,), "line": (2,)}
+_PARTS = {"weights": (_SIZE,), "transition": (2, 2), "bias": (1,), "line": (3,)}
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_train: int = 2000) -> dict[str, np.ndarray]:
     """The model, fitted in one task on the bounded sample."""
     truth = F.col(column).cast("int")
-    sample = labelled_sample(docs, labels.where(truth == 1), column, max_train).unionByName(labelled_sample(docs, labels.where(truth == 0), column, 2 * max_train))
-    sample = sample.coalesce(1).sortWithinPartitions("order", "label", "text")
+    sample = sample_of(docs, picked(labels.where(truth == 1), column, max_train).unionByName(picked(labels.where(truth == 0), column, 2 * max_train)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, counts, toxic = [np.zeros((0, 1 + len(_PREFIXES) + len(_SUFFIXES)), np.int32)], [], []

@@ -267,6 +267,67 @@ def test_toxicity_held_out_accuracy_and_spans(spark, empty):
     assert {r["doc_id"] for r in toxicity.reject(docs, labels).collect()} == {i for i, r in got.items() if r["score"] < 0.5}
 
 
+def test_toxicity_learns_from_few_labels(spark):
+    """Sixty labelled rows are enough for words that half of the toxic ones share."""
+    rows, truth = labelled(6, 400)
+    few = [t for t in truth if zlib.crc32(str(t[0]).encode()) % 5][:60]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, toxicity.train(docs, spark.createDataFrame(few, "doc_id long, quality int, toxic int"))).collect()}
+    rest = [t for t in truth if t not in few]
+    assert sum(got[i] for i, _, y in rest if y) >= 0.9 * sum(y for _, _, y in rest)
+    assert sum(got[i] for i, _, y in rest if not y) <= 0.1 * sum(1 - y for _, _, y in rest)
+
+
+def test_chance_and_copies():
+    from math import comb
+
+    k1, k = np.array([2, 0, 3, 5]), np.array([4, 3, 3, 9])
+    wanted = [sum(comb(6, x) * comb(14, b - x) for x in range(a, min(b, 6) + 1)) / comb(20, b) for a, b in zip(k1, k)]
+    assert np.allclose(toxicity._chance(k1, k, 6, 20), wanted)
+    r = random.Random(8)
+    base = [[r.randrange(5000) for _ in range(200)] for _ in range(5)]
+    texts = [b[:i] + [9000 + i] + b[i + 1 :] for b in base for i in range(4)] + [[], []]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    index = np.array([x for t in texts for x in t]).reshape(-1, 1)
+    group = toxicity.copies(index, offsets)
+    assert len(set(group[:20])) == 5 and len(set(group)) == 7 and all(len(set(group[4 * i : 4 * i + 4])) == 1 for i in range(5))
+
+
+def test_sample_is_sent_to_one_task_after_the_scan(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    sample = quality.sample_of(docs, quality.picked(labels, "toxic", 10))
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert sample.rdd.getNumPartitions() == 1 and "SinglePartition, REPARTITION_BY_NUM" in plan and not re.search(r"\bCoalesce \d", plan)
+
+
+def test_quality_updates_against_the_plain_rule():
+    """FTRL-proximal, one coordinate at a time."""
+    r = random.Random(3)
+    examples = [(np.array([[r.randrange(6) for _ in range(5)] for _ in range(r.randint(1, 4))]), r.randint(0, 1)) for _ in range(30)]
+    alpha, beta, l1, l2, size = 0.5, 1.0, 0.02, 0.02, quality._SIZE
+    z, n = {}, {}
+
+    def weight(i):
+        s = z.get(i, 0.0)
+        return 0.0 if abs(s) <= l1 else -(s - (l1 if s > 0 else -l1)) / ((beta + n.get(i, 0.0) ** 0.5) / alpha + l2)
+
+    for _ in range(4):
+        for index, label in examples:
+            x = {size: 1.0}
+            for i in index.ravel().tolist():
+                x[i] = x.get(i, 0.0) + 8.0 / len(index)
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (n[i] ** 0.5 - before**0.5) / alpha * w[i]
+    got = quality.fit(iter(examples), 4, alpha, beta, l1, l2)
+    assert np.allclose([got[i] for i in (*range(6), size)], [weight(i) for i in (*range(6), size)])
+
+
 def test_quality_held_out_accuracy(spark, empty):
     rows, truth = labelled(2)
     docs = spark.createDataFrame(rows + [(10_000, None), (10_001, "")], "doc_id long, text string")
