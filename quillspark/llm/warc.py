@@ -193,7 +193,7 @@ def records(stream) -> Iterator[tuple]:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """The records of the archives whose column path names them, as RECORD_SCHEMA."""
+    """The records of the archives whose column path names them, once each, as RECORD_SCHEMA."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -218,9 +218,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    files = archives.select("path").distinct()
-    # By number, so that adaptive execution doesn't put all of these short rows into one task.
-    return files.repartition(partitions(archives.sparkSession), "path").mapInArrow(read, RECORD_SCHEMA)
+    # Paths are short rows for much work: dealt by a number of partitions, which adaptive execution keeps.
+    return archives.select("path").repartition(partitions(archives.sparkSession), "path").mapInArrow(read, RECORD_SCHEMA)
 
 
 def page_number(column: str):
