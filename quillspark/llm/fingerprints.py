@@ -1,9 +1,12 @@
 """Context-triggered piecewise hashing of documents.
 
 A rolling hash over seven code points ends a chunk wherever it falls into one residue class of the
-block size, or after four block sizes without one; the signature holds 12 bits (two characters) of each chunk's hash. The block size
-follows from the length alone, and a fingerprint has the signatures at that size and at twice it,
-so texts whose lengths differ by less than half always share one.
+block size; the signature holds 12 bits (two characters) of each chunk's hash. Where four block sizes go
+by without such a place, a chunk ends there too: content-defined chunking bounds its chunks so, and
+without the bound a text that repeats itself has one chunk, which any edit changes. The bound depends on
+content as well, since it counts from the last triggered place. The block size follows from the length
+alone, and a fingerprint has the signatures at that size and at twice it, so texts whose lengths differ
+by less than half always share one.
 The likeness of two fingerprints is 1 - edit distance / longer signature at their common block
 size, and 0 without one.
 
@@ -113,35 +116,48 @@ def edited(text: str, following: str) -> str:
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
+def neighbours(docs: DataFrame, ranges_a_partition: int = 4) -> DataFrame:
     """Fingerprints of every row of docs (doc_id, text) and of its edited text, and their likeness
     to each other and to the next row's, by descending doc_id; after the last comes the first.
 
-    The rows are dealt out once, by ranges of doc_id, and sorted in each; a range's first row also
-    goes to the range before, so that no task needs all rows. Ranges come from quantiles, one a
-    shuffle partition, which are all that the driver sees."""
+    The rows are dealt out once, by ranges of doc_id, and sorted in each; the rows with a range's largest
+    doc_id also go to the range before, as its guests, so that no task needs all rows. The driver sees
+    one cut and one largest doc_id for each range, some ranges a shuffle partition."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = partitions(docs.sparkSession)
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or []
-    cuts = sorted({int(x) for x in cuts}, reverse=True)
-    # Range 0 has the largest ids; nulls are in the last one.
-    place = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("doc_id")))) if cuts else F.lit(0)
-    rows = rows.withColumn("place", place.cast("int"))
-    tops = rows.groupBy("place").agg(F.max("doc_id").alias("top")).orderBy("place").collect()  # one row a range
-    before = {tops[i].place: (tops[i].top, tops[i - 1].place) for i in range(len(tops))}
-    order = [F.desc_nulls_last("doc_id"), F.asc("text")]
-    if not before:
+    m = n * ranges_a_partition
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / m for k in range(1, m)] or [0.5], 100 * m).alias("q")).first()["q"] or []
+    cuts = np.unique(np.array(cuts, np.int64))
+
+    def range_of(ids: pa.Array) -> np.ndarray:
+        """0 for the largest ids; nulls are in the last range."""
+        place = len(cuts) - np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="left")
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), len(cuts), place)
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops: dict[int, int | None] = {}
+        for batch in batches:
+            for place, i in zip(range_of(batch.column(0)).tolist(), batch.column(0).to_pylist(), strict=True):
+                if place not in tops or tops[place] is None or (i is not None and i > tops[place]):
+                    tops[place] = i
+        yield pa.RecordBatch.from_arrays([pa.array(list(tops), pa.int32()), pa.array(list(tops.values()), pa.int64())], ["place", "top"])
+
+    found = rows.select("doc_id").mapInArrow(largest, "place int, top long").groupBy("place").agg(F.max("top").alias("top")).orderBy("place").collect()  # one row a range
+    if not found:
         return docs.sparkSession.createDataFrame([], _OUT)
+    guests = {r["top"]: (found[k]["place"], found[k - 1]["place"]) for k, r in enumerate(found)}
 
-    def copies():
-        """The ranges that a row goes to: its own, and for the rows with a range's largest id the
-        one before too, where only the first of them counts."""
-        chain = F.array()
-        for at, (top, to) in before.items():
-            chain = F.when((F.col("place") == at) & F.col("doc_id").eqNullSafe(F.lit(top)), F.array(F.struct(F.lit(to).alias("to"), F.lit(1).alias("guest")))).otherwise(chain)
-        return F.concat(F.array(F.struct(F.col("place").alias("to"), F.lit(0).alias("guest"))), chain)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = range_of(batch.column(0))
+            also = [(k, guests[i][1]) for k, (i, place) in enumerate(zip(batch.column(0).to_pylist(), own.tolist(), strict=True)) if i in guests and guests[i][0] == place]
+            take = pa.array(list(range(len(own))) + [k for k, _ in also], pa.int64())
+            to = own.tolist() + [place for _, place in also]
+            guest = [0] * len(own) + [1] * len(also)
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(guest, pa.int32()), batch.column(0).take(take), batch.column(1).take(take)], ["to", "guest", "doc_id", "text"])
 
-    dealt = rows.withColumn("copy", F.explode(copies())).select("copy.to", "copy.guest", "doc_id", "text").repartition(n, "to").sortWithinPartitions("to", "guest", *order)
+    order = [F.desc_nulls_last("doc_id"), F.asc("text")]
+    dealt = rows.mapInArrow(deal, "to int, guest int, doc_id long, text string").repartitionByRange(n, "to").sortWithinPartitions("to", "guest", *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -179,4 +195,3 @@ def neighbours(docs: DataFrame) -> DataFrame:
 def fingerprints(spark, sf_dir: str) -> DataFrame:
     """Query op1_fingerprints: fingerprints of all documents, of their edited texts, and likeness."""
     return neighbours(table(spark, sf_dir, "documents"))
-

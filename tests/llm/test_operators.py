@@ -101,6 +101,69 @@ def test_neighbours(spark, docs, empty):
     assert fingerprints.neighbours(docs.where("doc_id = 9")).first()["near_next"] == 1.0
 
 
+def slow_signature(text, block):
+    """The signature by its definition: chunk by chunk, with hashes by plain recursion."""
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & mask
+        return h ^ (h >> 31)
+
+    letters = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
+    points = [ord(c) + 1 for c in text]
+    out, chunk, longest = "", [], 4 * block
+    triggered, pieces = [], []
+    for k, p in enumerate(points):
+        chunk.append(p)
+        rolling = sum(points[k - j] * pow(fingerprints._ROLL, j, 1 << 64) for j in range(min(7, k + 1))) & mask
+        if (mix(rolling) >> 16) % block == block - 1 or k == len(points) - 1:
+            triggered.append(chunk)
+            chunk = []
+    for chunk in triggered:
+        pieces += [chunk[k : k + longest] for k in range(0, len(chunk), longest)]
+    for piece in pieces:
+        body = sum(p * pow(fingerprints._CHUNK, j, 1 << 64) for j, p in enumerate(piece)) + len(piece)
+        bits = mix(body & mask) & 4095
+        out += letters[bits >> 6] + letters[bits & 63]
+    return out
+
+
+def test_fingerprint_against_the_slow_definition():
+    r = random.Random(11)
+    texts = ["a", "ab" * 9, "x" * 900, " ".join(r.choice(["uno", "due", "漢字", "é"]) for _ in range(300)), "".join(chr(r.randrange(32, 1000)) for _ in range(2000)), "\U0001f600" * 50 + "end"]
+    for t in texts:
+        block = 3
+        while block * 128 < len(t):
+            block *= 2
+        assert fingerprints.fingerprint(t) == f"{block}:{slow_signature(t, block)}:{slow_signature(t, 2 * block)}"
+
+
+def test_fingerprints_of_very_long_texts():
+    r = random.Random(12)
+    long = "".join(chr(97 + r.randrange(26)) for _ in range(2_000_000))
+    near = long[:1_000_000] + "an edit in the middle" + long[1_000_000:]
+    assert fingerprints.likeness(fingerprints.fingerprint(long), fingerprints.fingerprint(near)) > 0.9
+
+
+def test_neighbours_in_many_partitions(spark):
+    """As many ranges as rows and more, ties in every range, and a plan that doesn't grow with them."""
+    rows = [(i // 3, f"text {i} " * (i % 5)) for i in range(400)] + [(None, "x"), (None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        table = fingerprints.neighbours(docs)
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        got = table.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(plan) < 5000
+    rows.sort(key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    wanted = sorted((i, hashlib.sha256(fingerprints.edited(t, rows[(k + 1) % len(rows)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(rows) if i is not None)
+    assert sorted((r["doc_id"], r["edited_sha256"]) for r in got if r["doc_id"] is not None) == wanted and len(got) == len(rows)
+
+
 def brute_substrings(rows, n=13):
     windows = {}
     split = [(i, WORD.findall(t or "")) for i, t in rows]
