@@ -1,14 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of the page. A line's weight is its length; lines
-of menus, forms, adverts and the like weigh nothing, and lines that the page marks as its article
-weigh up to twice their length, by no more than a window's share of the threshold, so that a mark
-alone never lifts a window over it. The distribution is the sum of weights over a window of lines;
-text starts where the sum surges over the threshold and ends where it dives to nothing, and the
-weighted lines in between are kept.
-
-Defined results: null or empty html gives an empty text of 0 characters; repeated rows each give a
-row; other columns of the input are not read.
+Markup is stripped into lines, one for each block of the page. A line's weight is the length of its
+text outside links. Stripping also takes out what forms, menus, adverts, notices and the like hold: such
+lines weigh nothing. Lines that the page marks as its article weigh up to twice their length, by no
+more than a window's share of the threshold, so that a mark alone never lifts a window over it. The
+distribution is the sum of weights over a sliding window of lines. Where it comes up over the threshold
+there is a surge; the text around it reaches back and forth to where the distribution dives, that is to
+windows without any weight, and its lines are kept. What lies between dives without a surge is dropped.
+
+Defined results: null or empty html gives an empty text of 0 characters; a page without any surge gives
+all its lines of weight; repeated rows each give a row; an empty table gives no rows; other columns of
+the input are not read.
 """
 
 from __future__ import annotations
@@ -69,10 +71,11 @@ def _beside(attributes: str) -> bool:
     return bool(_HIDDEN.search(attributes))
 
 
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, beside the article, in the marked article) of each block of the page."""
-    out: list[tuple[str, bool, bool]] = []
+def lines(page: str) -> list[tuple[str, bool, bool, int]]:
+    """(text, beside the article, in the marked article, characters in links) of each block of the page."""
+    out: list[tuple[str, bool, bool, int]] = []
     run: list[str] = []
+    links: list[str] = []
     #: Open elements: name, how what they hold counts (0 text, 1 beside, 2 header of an article), in an article.
     stack: list[tuple[str, int, bool]] = [("", 0, False)]
     opened: Counter[str] = Counter()
@@ -80,10 +83,12 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
+        linked = len(_SPACE.sub(" ", html.unescape("".join(links))).strip())
         run.clear()
+        links.clear()
         if text:
             _, beside, inside = stack[-1]
-            out.append((text, beside > 0, inside))
+            out.append((text, beside > 0, inside, min(linked, len(text))))
 
     def cut(place: int) -> None:
         if stack[place - 1][1:] != stack[-1][1:]:
@@ -105,6 +110,8 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
 
     while found := _TOKEN.search(page, at):
         run.append(page[at : found.start()])
+        if opened["a"]:
+            links.append(page[at : found.start()])
         at = found.end()
         name = found[2] or found[5]
         if not name:
@@ -150,25 +157,35 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
+def kept(weights: list[int], threshold: int, window: int) -> list[bool]:
+    """Whether each line lies between two dives that have a surge between them."""
+    out = [False] * len(weights)
+    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    first = 0
+    while first < len(weights):
+        if sums[first] == 0:
+            first += 1
+            continue
+        last = first
+        while last < len(weights) and sums[last] > 0:
+            last += 1
+        if max(sums[first:last]) > threshold:
+            out[first:last] = [True] * (last - first)
+        first = last
+    return out
+
+
 def main_text(page: str | None, threshold: int = 86, window: int = 3) -> str:
     """Blocks of the main text, joined by line feeds."""
     if not page:
         return ""
     found = lines(page)
-    weights = [0 if beside else len(text) + (min(len(text), threshold // window) if inside else 0) for text, beside, inside in found]
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    keep, i = [], 0
-    while i < len(sums):
-        if sums[i] > threshold:
-            while i < len(sums) and sums[i] > 0:
-                if weights[i]:
-                    keep.append(found[i][0])
-                i += 1
-        else:
-            i += 1
-    if not keep:
-        keep = [text for (text, _, _), w in zip(found, weights, strict=True) if w]
-    return "\n".join(keep)
+    plain = [0 if beside else len(text) - linked for text, beside, _, linked in found]
+    weights = [n + (min(n, threshold // window) if inside else 0) for n, (_, _, inside, _) in zip(plain, found, strict=True)]
+    keep = kept(weights, threshold, window)
+    if not any(keep):
+        keep = [w > 0 for w in weights]
+    return "\n".join(text for (text, beside, _, _), k in zip(found, keep, strict=True) if k and not beside)
 
 
 def extract(pages: DataFrame, threshold: int = 86, window: int = 3) -> DataFrame:
