@@ -143,7 +143,12 @@ def match_sentence_report(spark, d):
     return asked.select(*_SENTENCE, "mode").join(report, list(_SENTENCE), "left").select(*_SENTENCE, "mode", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), "best", F.array_join(F.col("works").cast("array<string>"), ",").alias("works"))
 
 
-_SENTENCE_QUERIES = f"SELECT conv_id * 100 + pos AS query_id, substr(sentence, 1, 500) AS phrase, {D.mode('sentence')} AS mode FROM {_SENTENCES} WHERE turn = 0"
+#: Distinct sentences of all turns, as queries; _ASKED has every sentence.
+_ASKED = f"(SELECT conv_id, turn, pos, substr(sentence, 1, 500) AS phrase, {D.mode('sentence')} AS mode FROM {_SENTENCES})"
+_SENTENCE_QUERIES = f"SELECT min(conv_id * 1000000 + turn * 1000 + pos) AS query_id, phrase, mode FROM {_ASKED} GROUP BY phrase, mode"
+_REPORT_SQL = f"""WITH {_match_cte(_SENTENCE_QUERIES)},
+h AS (SELECT query_id, count(*) AS hits, {D.rounded('max(score)', 2)} AS best, string_agg(CAST(work_id AS VARCHAR), ',' ORDER BY rank) AS works FROM ranked WHERE rank <= 8 GROUP BY query_id)
+SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, a.mode, coalesce(hits, 0) AS hits, best, works FROM {_ASKED} a JOIN q0 USING (phrase, mode) LEFT JOIN h USING (query_id)"""
 
 
 def match_hit_merge(spark, d):
@@ -165,8 +170,8 @@ def match_hit_merge(spark, d):
 
 
 _HIT_MERGE_SQL = f"""WITH {_match_cte(_SENTENCE_QUERIES)},
-h AS (SELECT query_id // 100 AS conv_id, work_id, query_id % 100 AS pos, {D.rounded("score", 2)} AS score, cited, 's' || (query_id % 100) AS sentence, {_LABEL} AS reason, mode FROM ranked WHERE rank <= 8),
-m AS (SELECT conv_id, work_id, max(score) AS score, max(cited) AS cited, list(sentence ORDER BY score DESC, pos DESC) AS s, list(reason ORDER BY score DESC, pos DESC) AS r, list(mode ORDER BY score DESC, pos DESC) AS o FROM h GROUP BY ALL),
+h AS (SELECT conv_id, work_id, turn, pos, {D.rounded("score", 2)} AS score, cited, 't' || turn || 's' || pos AS sentence, {_LABEL} AS reason, a.mode FROM {_ASKED} a JOIN q0 USING (phrase, mode) JOIN ranked USING (query_id) WHERE rank <= 8),
+m AS (SELECT conv_id, work_id, max(score) AS score, max(cited) AS cited, list(sentence ORDER BY score DESC, turn DESC, pos DESC) AS s, list(reason ORDER BY score DESC, turn DESC, pos DESC) AS r, list(mode ORDER BY score DESC, turn DESC, pos DESC) AS o FROM h GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, cited DESC, work_id) AS rank FROM m)
 SELECT conv_id, work_id, CAST(rank AS INTEGER) AS rank, score, array_to_string(s[:4], ',') AS sentences, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i)[:8], ',') AS reasons,
     array_to_string(list_filter(o, lambda x, i: list_position(o, x) = i), ',') AS sources FROM k WHERE rank <= 12"""
@@ -199,7 +204,7 @@ def inverted_index_rebuild(spark, d):
     return index.select("doc_id", F.size("index").alias("n_words"), F.md5(T.rebuild(F.col("index")).cast("binary")).alias("text_md5"))
 
 
-_INDEX_SQL = f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '{D.SPACE}'), lambda w: w <> '')[:50] AS w FROM documents)
+_INDEX_SQL = f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '{D.SPACE}'), lambda w: w <> '') AS w FROM documents)
 SELECT doc_id, CAST(len(list_distinct(w)) AS INTEGER) AS n_words, md5(array_to_string(w, ' ')) AS text_md5 FROM w WHERE len(w) > 0"""
 
 
@@ -210,6 +215,15 @@ def highlight_segments(spark, d):
     return rows.select("item_id", F.posexplode(T.highlight(F.col("text"), T.tokens(F.col("title")))).alias("pos", "run")).select("item_id", "pos", "run.text", "run.matched")
 
 
+_HIGHLIGHT_SQL = f"""
+WITH r AS (SELECT item_id, regexp_extract_all(b.text, '[A-Za-z0-9{D.CJK}]+|[^A-Za-z0-9{D.CJK}]+') AS l, {D.tokens(D.first_line("d.text"))} AS words FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+e AS (SELECT item_id, l, words, unnest(range(1, len(l) + 1)) AS i FROM r),
+m AS (SELECT item_id, i, l[i] AS run, length({D.norm("l[i]")}) >= 2 AND list_contains(words, {D.norm("l[i]")}) AS matched FROM e),
+c AS (SELECT *, coalesce(matched <> lag(matched) OVER w, true) AS fresh FROM m WINDOW w AS (PARTITION BY item_id ORDER BY i)),
+g AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY item_id ORDER BY i) - 1 AS pos FROM c)
+SELECT item_id, CAST(pos AS INTEGER) AS pos, string_agg(run, '' ORDER BY i) AS text, any_value(matched) AS matched FROM g GROUP BY item_id, pos"""
+
+
 QUERIES = {
     "text_normalize": text_normalize,
     "token_stats": token_stats,
@@ -241,8 +255,9 @@ ORACLES = {
     "sentence_split": f"SELECT conv_id, turn, pos, md5(sentence) AS sentence_md5, CAST(length(sentence) AS INTEGER) AS n_chars FROM {_SENTENCES}",
     "sentence_mode": f"SELECT conv_id, turn, pos, {D.mode('sentence')} AS mode FROM {_SENTENCES}",
     "query_expansion": f"SELECT conv_id, turn, pos, CASE WHEN length(k) > 24 THEN k END AS key_words FROM (SELECT conv_id, turn, pos, array_to_string({D.tokens('sentence', 3)}[:14], ' ') AS k FROM {_SENTENCES})",
-    "match_sentence_report": f"WITH {_match_cte(_SENTENCE_QUERIES)}, h AS (SELECT query_id, count(*) AS hits, {D.rounded('max(score)', 2)} AS best, string_agg(CAST(work_id AS VARCHAR), ',' ORDER BY rank) AS works FROM ranked WHERE rank <= 8 GROUP BY query_id) SELECT query_id, mode, coalesce(hits, 0) AS hits, best, works FROM q0 LEFT JOIN h USING (query_id)",
+    "match_sentence_report": _REPORT_SQL,
     "match_hit_merge": _HIT_MERGE_SQL,
     "abstract_snippets": _SNIPPETS_SQL,
     "inverted_index_rebuild": _INDEX_SQL,
+    "highlight_segments": _HIGHLIGHT_SQL,
 }

@@ -115,11 +115,15 @@ def _hits(spark, d, every=True):
     return M.first_wins(M.union_all(parts), ["title"], F.asc("source_rank"), F.asc("pos"))
 
 
-_HITS = (
-    "u AS ("
-    + " UNION ALL ".join(f"SELECT '{kind}' AS kind, '{t}' AS tag, CAST({key} AS BIGINT) AS pos, {title} AS title, CAST(floor({number}) AS BIGINT) AS cited, CAST({key} % 30 + 1995 AS INTEGER) AS year, {i} AS source_rank FROM {t}" for i, (kind, t, key, title, number) in enumerate(_SOURCES))
-    + "), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY source_rank, pos) AS n FROM u) WHERE n = 1)"
+_SOURCE_HITS = " UNION ALL ".join(f"SELECT '{kind}' AS kind, '{t}' AS tag, CAST({key} AS BIGINT) AS pos, {title} AS title, CAST(floor({number}) AS BIGINT) AS cited, CAST({key} % 30 + 1995 AS INTEGER) AS year, {i} AS source_rank FROM {t}" for i, (kind, t, key, title, number) in enumerate(_SOURCES))
+_OTHER_HITS = (
+    f"SELECT 'paper', 'orders', o_orderkey, 'Order ' || o_orderkey, CAST(floor(o_totalprice) AS BIGINT), CAST(year(o_orderdate) AS INTEGER), {len(_SOURCES)} FROM orders UNION ALL "
+    f"SELECT 'data', 'curated', CAST(i AS BIGINT), t, NULL, NULL, {len(_SOURCES) + 1} FROM (VALUES "
+    + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_CURATED, 1))
+    + ") c(i, t)"
 )
+_FIRST_HITS = "h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY source_rank, pos) AS n FROM u) WHERE n = 1)"
+_HITS = f"u AS ({_SOURCE_HITS} UNION ALL {_OTHER_HITS}), {_FIRST_HITS}"
 
 
 def datasets_union_facets(spark, d):
@@ -318,8 +322,8 @@ r AS (SELECT o_orderkey, CASE WHEN near AND o_orderstatus = 'P' THEN coalesce(c_
 SELECT * FROM r WHERE is_open OR status <> 'P'""",
     "journal_metrics_broadcast": f"WITH f AS (SELECT l_suppkey, count(*) AS works, CAST(round(sum(l_quantity)) AS BIGINT) AS cited, CAST(max(year(l_shipdate)) AS INTEGER) AS last_year FROM lineitem GROUP BY ALL) SELECT s_suppkey, s_name, works, cited, last_year, {D.rounded('cited / works')} AS mean_cited FROM supplier LEFT JOIN f ON l_suppkey = s_suppkey",
     "datasets_union_facets": f"WITH {_HITS} SELECT kind, count(*) AS hits, count(*) FILTER (WHERE cited > 0) AS cited_hits FROM h WHERE year IS NULL OR year = 0 OR year >= 2005 GROUP BY kind",
-    "datasets_since_type_sort": f"WITH {_HITS} SELECT tag, pos, title, cited, year, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY coalesce(cited, 0) DESC, source_rank, pos) AS rank FROM h WHERE (year IS NULL OR year = 0 OR year >= 2005) AND kind = 'data') WHERE rank <= 50",
-    "source_status": f"WITH {_HITS}, c AS (SELECT tag, count(*) AS hits FROM h GROUP BY tag), n(source_rank, tag) AS (VALUES {', '.join(str((i, s[1])) for i, s in enumerate(_SOURCES))}, ({len(_SOURCES)}, 'registry')) SELECT source_rank, tag, coalesce(hits, 0) AS hits, coalesce(hits > 0, false) AS used FROM n LEFT JOIN c USING (tag)",
+    "datasets_since_type_sort": f"WITH {_HITS} SELECT tag, pos, title, cited, year, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY coalesce(cited, 0) DESC, source_rank, pos) AS rank FROM h WHERE (year IS NULL OR year = 0 OR year >= 2005) AND kind = 'data')",
+    "source_status": f"WITH u AS ({_SOURCE_HITS}), {_FIRST_HITS}, c AS (SELECT tag, count(*) AS hits FROM h GROUP BY tag), n(source_rank, tag) AS (VALUES {', '.join(str((i, s[1])) for i, s in enumerate(_SOURCES))}, ({len(_SOURCES)}, 'registry')) SELECT source_rank, tag, coalesce(hits, 0) AS hits, coalesce(hits > 0, false) AS used FROM n LEFT JOIN c USING (tag)",
     "coalesce_merge": f"WITH {_EVENTS} SELECT user_id, shelf, arg_min(kind, (ts, event_id)) FILTER (WHERE kind <> '') AS kind, arg_min(k, (ts, event_id)) FILTER (WHERE k <> 0) AS k, max(value) AS value, array_to_string(list_filter(list(event_type ORDER BY ts, event_id), lambda x, i: list_position(list(event_type ORDER BY ts, event_id), x) = i), ',') AS kinds FROM e GROUP BY user_id, shelf",
     "overlay_merge": f"WITH {_EVENTS} SELECT user_id, shelf, arg_max(kind, (ts, event_id)) FILTER (WHERE kind <> '') AS kind, arg_min(k, (ts, event_id)) FILTER (WHERE k <> 0) AS k, max(value) AS value FROM e GROUP BY user_id, shelf",
     "supplement_when_thin": """WITH s AS (SELECT s_nationkey AS nation, s_suppkey AS id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS pos FROM supplier),
@@ -343,7 +347,7 @@ q AS (SELECT DISTINCT item_id, unnest({D.tokens('text')}) AS token FROM benchmar
 s AS (SELECT item_id, doc_id, {D.rounded("sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * times * 2.2 / (times + 1.2 * (0.25 + 0.75 * size / mean)))")} AS score FROM q JOIN i USING (token) JOIN f USING (token), n GROUP BY item_id, doc_id)
 SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
     "trial_bridge": f"""WITH {_EVENTS}, m AS (SELECT user_id, k, min((ts, event_id)) AS seen FROM e GROUP BY ALL),
-f AS (SELECT user_id, p_partkey, row_number() OVER (PARTITION BY user_id ORDER BY seen) AS pos FROM m JOIN part ON p_partkey = k WHERE p_size > 40),
+f AS (SELECT user_id, p_partkey, row_number() OVER (PARTITION BY user_id ORDER BY seen) AS pos FROM m JOIN part ON p_partkey = k),
 g AS (SELECT p_partkey, p_size, row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part), u AS (SELECT DISTINCT user_id, user_id % 50 + 1 AS p_size FROM e)
 SELECT user_id, p_partkey, CAST(pos AS INTEGER) AS pos, 'named' AS how FROM f WHERE pos <= 5 UNION ALL SELECT user_id, p_partkey, CAST(rank AS INTEGER), 'searched' FROM u JOIN g USING (p_size) WHERE rank <= 3 AND user_id NOT IN (SELECT user_id FROM f)""",
 }
