@@ -71,10 +71,11 @@ def strip_markup(text: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"\s+", " ")
     for name, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
         out = F.replace(out, F.lit(name), F.lit(char))
-    runs = F.regexp_extract_all(out, F.lit(r"&#x[0-9a-fA-F]{1,4};|&#\d{1,5};|[^&]+|&"), F.lit(0))
+    runs = F.regexp_extract_all(out, F.lit(r"&#x[0-9a-fA-F]{1,6};|&#\d{1,7};|[^&]+|&"), F.lit(0))
 
     def decode(r: Column) -> Column:
         code = F.when(r.rlike("^&#x"), F.conv(F.substring(r, 4, 4).substr(F.lit(1), F.length(r) - 4), 16, 10)).otherwise(F.regexp_extract(r, r"^&#(\d+);$", 1))
-        return F.when(r.rlike(r"^&#x[0-9a-fA-F]+;$|^&#\d+;$"), F.decode(F.unhex(F.lpad(F.hex(code.cast("int")), 4, "0")), "UTF-16BE")).otherwise(r)
+        known = r.rlike(r"^&#x[0-9a-fA-F]+;$|^&#\d+;$") & (code.cast("int") <= 0x10FFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code.cast("int")), 8, "0")), "UTF-32")).otherwise(r)
 
     return strip(F.array_join(F.transform(runs, decode), ""))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import let, normalize, strip, tokens
 
 #: Words that journal names are compared without.
-_JOURNAL_STOPS = ("of", "the", "and", "for", "in", "on", "a", "an", "und", "der", "die", "das", "et", "al")
+JOURNAL_STOPS = ("of", "the", "and", "for", "in", "on", "a", "an", "und", "der", "die", "das", "et", "al")
 
 
 def share(bag: Column, other: Column) -> Column:
@@ -99,7 +99,7 @@ def journal_match(cited: Column, resolved: Column) -> Column:
     beginnings of the full name's words, in order."""
 
     def words(n: Column, least: int) -> Column:
-        return F.filter(F.split(n, " "), lambda w: (F.length(w) >= least) & ~w.isin(*_JOURNAL_STOPS))
+        return F.filter(F.split(n, " "), lambda w: (F.length(w) >= least) & ~w.isin(*JOURNAL_STOPS))
 
     def fits(w: Column, t: Column) -> Column:
         return F.startswith(w, t) | ((F.length(t) > 1) & F.startswith(t, w)) | ((F.length(t) >= 2) & F.startswith(w, F.substring(t, 1, 2)))

@@ -209,19 +209,21 @@ SELECT doc_id, CAST(len(list_distinct(w)) AS INTEGER) AS n_words, md5(array_to_s
 
 
 def highlight_segments(spark, d):
-    """Runs of benchmark items that occur in the title of the document with their number."""
-    docs = S.works(spark, d).select(F.col("work_id").alias("item_id"), "title")
-    rows = S.table(spark, d, "benchmark").join(docs, "item_id")
-    return rows.select("item_id", F.posexplode(T.highlight(F.col("text"), T.tokens(F.col("title")))).alias("pos", "run")).select("item_id", "pos", "run.text", "run.matched")
+    """Runs of every document's title that occur in the benchmark item with its number."""
+    b = S.table(spark, d, "benchmark").select("item_id", T.tokens(F.col("text")).alias("words"))
+    docs = S.works(spark, d).select(F.col("work_id").alias("doc_id"), "title", (F.col("work_id") % b.count()).alias("item_id"))
+    rows = docs.join(b, "item_id")
+    return rows.select("doc_id", F.posexplode(T.highlight(F.col("title"), F.col("words"))).alias("pos", "run")).select("doc_id", "pos", "run.text", "run.matched")
 
 
 _HIGHLIGHT_SQL = f"""
-WITH r AS (SELECT item_id, regexp_extract_all(b.text, '[A-Za-z0-9{D.CJK}]+|[^A-Za-z0-9{D.CJK}]+') AS l, {D.tokens(D.first_line("d.text"))} AS words FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
-e AS (SELECT item_id, l, words, unnest(range(1, len(l) + 1)) AS i FROM r),
-m AS (SELECT item_id, i, l[i] AS run, length({D.norm("l[i]")}) >= 2 AND list_contains(words, {D.norm("l[i]")}) AS matched FROM e),
-c AS (SELECT *, coalesce(matched <> lag(matched) OVER w, true) AS fresh FROM m WINDOW w AS (PARTITION BY item_id ORDER BY i)),
-g AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY item_id ORDER BY i) - 1 AS pos FROM c)
-SELECT item_id, CAST(pos AS INTEGER) AS pos, string_agg(run, '' ORDER BY i) AS text, any_value(matched) AS matched FROM g GROUP BY item_id, pos"""
+WITH b AS (SELECT item_id, {D.tokens("text")} AS words FROM benchmark), t AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id, {D.first_line("text")} AS title FROM documents),
+r AS (SELECT doc_id, regexp_extract_all(title, '[A-Za-z0-9{D.CJK}]+|[^A-Za-z0-9{D.CJK}]+') AS l, words FROM t JOIN b USING (item_id)),
+e AS (SELECT doc_id, l, words, unnest(range(1, len(l) + 1)) AS i FROM r),
+m AS (SELECT doc_id, i, l[i] AS run, length({D.norm("l[i]")}) >= 2 AND list_contains(words, {D.norm("l[i]")}) AS matched FROM e),
+c AS (SELECT *, coalesce(matched <> lag(matched) OVER w, true) AS fresh FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM c)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, string_agg(run, '' ORDER BY i) AS text, any_value(matched) AS matched FROM g GROUP BY doc_id, pos"""
 
 
 QUERIES = {

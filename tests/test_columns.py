@@ -85,6 +85,17 @@ def test_references(spark):
     assert (got[2]["cited_pmid"], got[2]["cited_year"], got[2]["cited_author"]) == ("28889792", None, "Kirby J")
 
 
+def test_initials_make_no_title(spark):
+    """Literal cases of what can't be a title; two initials without a space between count twice."""
+    cases = {"A.B. Smith and co": True, "A. Smith and company": False, "Smith AB, Jones CD": True, "& Li, X and more": True, "short": True, "Vol 3 of something": True, "A long enough title of a study": False, "Someone et al on things": True}
+    rows = spark.createDataFrame(list(cases), "string").toDF("t")
+    got = {r["t"]: r["j"] for r in rows.selectExpr("t", f"{references.junk_title('t', references.Spark())} as j").collect()}
+    assert got == cases
+    import duckdb
+
+    assert {t: duckdb.sql(f"SELECT {references.junk_title('t', references.Duck())} FROM (SELECT '{t}' AS t)").fetchone()[0] for t in cases} == cases
+
+
 def test_split_list(spark):
     from quillspark.plans.outputs import LISTS
 
@@ -108,6 +119,7 @@ def test_url_problem(spark, url, wanted):
 
 def test_markup(spark):
     assert one(spark, labels.strip_markup(lit("<p>a &amp;lt; b</p> &#65;&#x42; &quot;c&quot;"))) == 'a < b AB "c"'
+    assert one(spark, labels.strip_markup(lit("&#99999; &#x1F600; &#9999999; &#xD7;"))) == "\U0001869f \U0001f600 &#9999999; \u00d7"
 
 
 def test_citation_styles(spark):
