@@ -93,7 +93,7 @@ def test_initials_make_no_title(spark):
     assert got == cases
     import duckdb
 
-    assert {t: duckdb.sql(f"SELECT {references.junk_title('t', references.Duck())} FROM (SELECT '{t}' AS t)").fetchone()[0] for t in cases} == cases
+    assert {t: duckdb.sql(f"SELECT {references.junk_title('t', references.Duck())} FROM (SELECT '{t}' AS t)").fetchall()[0][0] for t in cases} == cases
 
 
 def test_split_list(spark):
