@@ -276,6 +276,32 @@ def test_decontamination(spark, docs, empty, block):
     assert decontamination.contained(docs, table.limit(0)).count() == 0
 
 
+def test_containment_search_against_all_pairs():
+    """Items of one to sixty shingles, at every share of them, in short and long documents."""
+    r = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    items = [[r.choice(vocabulary) for _ in range(r.randint(1, 64))] for _ in range(120)]
+    docs = []
+    for k in range(200):
+        words = [r.choice(vocabulary) for _ in range(r.choice([0, 3, 50, 3000]))]
+        for item in r.sample(items, 3):
+            part = item[: max(1, int(len(item) * r.choice([0.5, 0.8, 0.9, 1, 1])))]
+            at = r.randint(0, len(words))
+            words[at:at] = part
+        docs.append(" ".join(words))
+    texts = [" ".join(x) for x in items]
+    sets = [shingles(t, 5) for t in docs]
+    for percent in (50, 80, 100):
+        lists = []
+        for _, w in W.documents(pa.array(texts)):
+            values, offsets = W.distinct(*W.grams(w, 5))
+            lists += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+        index = decontamination.Index(list(range(len(texts))), lists, percent)
+        got = {(first + d, i, n) for first, w in W.documents(pa.array(docs)) for d, i, n in decontamination.search(index, w, 5)}
+        wanted = {(d, i, len(s & x)) for i, t in enumerate(texts) for s in [shingles(t, 5)] for d, x in enumerate(sets) if 100 * len(s & x) >= percent * len(s)}
+        assert got == wanted and len(wanted) > 20
+
+
 def test_marginals_against_the_plain_recursion():
     rng = np.random.default_rng(0)
     offsets = np.array([0, 0, 1, 200, 230, 300])
