@@ -74,7 +74,7 @@ def strip_markup(text: Column) -> Column:
     runs = F.regexp_extract_all(out, F.lit(r"&#x[0-9a-fA-F]{1,6};|&#\d{1,7};|[^&]+|&"), F.lit(0))
 
     def decode(r: Column) -> Column:
-        code = F.when(r.rlike("^&#x"), F.conv(F.substring(r, 4, 4).substr(F.lit(1), F.length(r) - 4), 16, 10)).otherwise(F.regexp_extract(r, r"^&#(\d+);$", 1))
+        code = F.when(r.rlike("^&#x"), F.conv(r.substr(F.lit(4), F.length(r) - 4), 16, 10)).otherwise(F.regexp_extract(r, r"^&#(\d+);$", 1))
         known = r.rlike(r"^&#x[0-9a-fA-F]+;$|^&#\d+;$") & (code.cast("int") <= 0x10FFFF)
         return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code.cast("int")), 8, "0")), "UTF-32")).otherwise(r)
 
