@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.common import table, unused
 
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -193,8 +193,9 @@ def with_spans(docs: DataFrame, base: str, random: str, alpha: float = 0.01, rat
         return F.struct(base_spans.alias("base"), F.transform(kept, lambda x: x["span"]).alias("random"))
 
     rest = [c for c in docs.columns if c.lower() not in (base.lower(), random.lower())]
-    found = docs.select(*rest, _bind(fixed, passing).alias("_spans_found"))
-    return found.select(*rest, F.col("_spans_found.base").alias(base), F.col("_spans_found.random").alias(random))
+    both = unused("_spans_found", docs.columns)
+    found = docs.select(*rest, _bind(fixed, passing).alias(both))
+    return found.select(*rest, F.col(f"{both}.base").alias(base), F.col(f"{both}.random").alias(random))
 
 
 def scan(docs: DataFrame, alpha: float = 0.01, rate: float = 0.05) -> DataFrame:
@@ -204,9 +205,11 @@ def scan(docs: DataFrame, alpha: float = 0.01, rate: float = 0.05) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span, or run of overlapping ones, replaced by mark; n_chars follows the text."""
-    rows = with_spans(docs, "_base", "_random")
-    found = F.array_sort(F.concat("_base", "_random"))
+    """docs with every span, or run of overlapping ones, replaced by mark; n_chars follows the text. Null
+    texts stay null, and columns of any name stay as they are."""
+    base, random = unused("_base", docs.columns), unused("_random", docs.columns)
+    rows = with_spans(docs, base, random)
+    found = F.array_sort(F.concat(base, random))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(state: Column, s: Column) -> Column:

@@ -518,6 +518,8 @@ def test_secrets(spark, empty):
     clean = {x["doc_id"]: x["text"] for x in secrets.redact(docs).collect()}
     assert clean[2] == "é [SECRET] y [SECRET] z" and clean[0] is None and clean[7] == texts[7] and clean[6] == "[SECRET] " * 300
     assert secrets.scan(empty).count() == 0
+    clashing = docs.where("doc_id = 2").selectExpr("doc_id", "text", "1 AS _base", "2 AS _random", "3 AS _spans_found", "4 AS _base_")
+    assert [tuple(r) for r in secrets.redact(clashing).collect()] == [(2, "é [SECRET] y [SECRET] z", 1, 2, 3, 4)]
 
 
 def test_battery_against_plain_python(spark):
