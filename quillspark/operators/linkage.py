@@ -81,9 +81,13 @@ def score_label(score: Column) -> Column:
 
 def ranked_matches(queries: DataFrame, works: DataFrame, k: int = 8) -> DataFrame:
     """The k best works of each query over its mode's threshold. queries also has year_hint, works also
-    year, n_sources and cited."""
-    pairs = match_pairs(queries, works).join(works.select("work_id", "year", "n_sources", "cited"), "work_id").join(queries.select("query_id", "year_hint"), "query_id")
-    score = match_score(*[F.col(c) for c in ("mode", "title_score", "abstract_score", "coverage", "year_hint", "year", "n_sources")], F.lit(False), F.col("cited"))
+    year, n_sources and cited. A work counts as asked by its DOI where queries have dois, in lower case,
+    and works have doi."""
+    by_doi = "dois" in queries.columns and "doi" in works.columns
+    known = works.select("work_id", "year", "n_sources", "cited", *(["doi"] if by_doi else []))
+    pairs = match_pairs(queries, works).join(known, "work_id").join(queries.select("query_id", "year_hint", *(["dois"] if by_doi else [])), "query_id")
+    pairs = pairs.withColumn("doi_hit", F.coalesce(F.array_contains("dois", F.lower("doi")), F.lit(False)) if by_doi else F.lit(False)).drop("dois", "doi")
+    score = match_score(*[F.col(c) for c in ("mode", "title_score", "abstract_score", "coverage", "year_hint", "year", "n_sources", "doi_hit", "cited")])
     # Nine decimals, so that the order of a float sum can't decide a rank.
     scored = pairs.withColumn("score", T.rounded(score, 9)).where(F.col("score") >= F.when(F.col("mode") == "title", 0.42).otherwise(0.22))
     return top(scored, "query_id", k, F.desc("score"), F.desc("cited"), F.asc("work_id"))
@@ -104,3 +108,31 @@ def merge_hits(hits: DataFrame) -> DataFrame:
         F.slice(F.array_distinct(F.flatten("x.reasons")), 1, 8).alias("reasons"),
         F.array_distinct(F.flatten("x.sources")).alias("sources"),
     )
+
+
+def evidence(hits: DataFrame, queries: DataFrame, works: DataFrame, most: int = 24, most_missed: int = 16) -> DataFrame:
+    """hits of ranked_matches with what speaks for them: year_status, matched and missed tokens of the
+    title (missed for titles only), and reasons. Texts join the hits after the cut, not the pairs."""
+    asked = queries.select("query_id", F.array_distinct(T.tokens(F.col("phrase"))).alias("asked"))
+    titles = works.select("work_id", T.tokens(F.col("title")).alias("bag"))
+    rows = hits.join(asked, "query_id").join(titles, "work_id")
+    gap = F.abs(F.col("year_hint") - F.col("year"))
+    rows = rows.withColumns(
+        {
+            "year_status": F.when(gap == 0, "exact").when(gap <= 2, "near").when(gap > 2, "mismatch").otherwise("none"),
+            "matched": F.slice(F.array_intersect("asked", "bag"), 1, most),
+            "missed": F.when(F.col("mode") == "title", F.slice(F.array_except("asked", "bag"), 1, most_missed)).otherwise(F.array().cast("array<string>")),
+        }
+    )
+    share = lambda name, c: F.concat(F.lit(f"{name} "), F.floor(F.col(c) * 100 + 0.5).cast("string"), F.lit("%"))
+    #: Fixed values.
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.col("doi_hit"), "DOI 直达"),
+            F.when(F.col("title_score") >= 0.45, share("标题", "title_score")),
+            F.when((F.col("mode") == "body") & (F.col("coverage") >= 0.35), share("标题词覆盖", "coverage")),
+            F.when(F.col("abstract_score") >= 0.2, share("摘要重叠", "abstract_score")),
+            F.when(F.col("year_status") == "exact", "年份一致").when(F.col("year_status") == "near", "年份接近").when(F.col("year_status") == "mismatch", "年份不符"),
+        )
+    )
+    return rows.withColumn("reasons", F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("弱词重叠")))).drop("asked", "bag")

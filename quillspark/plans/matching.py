@@ -75,27 +75,28 @@ def match_score(mode: str):
     return query
 
 
-def _match_cte(queries: str) -> str:
-    """CTEs up to `ranked` for the relation `queries` (query_id, phrase, mode)."""
+def _match_cte(queries: str, hints: str = "CAST(NULL AS INTEGER) AS year_hint, CAST([] AS VARCHAR[]) AS dois") -> str:
+    """CTEs up to `ranked` for the relation `queries` (query_id, phrase, mode, and the hints)."""
     t = D.first_line("text")
     return f"""
 q0 AS ({queries}),
-q AS (SELECT query_id, mode, {D.norm("phrase")} AS nq, {D.tokens("phrase")} AS bag FROM q0),
-w AS (SELECT doc_id AS work_id, {D.norm(t)} AS nt, {D.tokens(t)} AS tbag, {D.tokens("text")} AS abag, n_chars AS cited, CAST(1995 + doc_id % 25 AS INTEGER) AS year FROM documents),
+q AS (SELECT query_id, mode, {hints}, {D.norm("phrase")} AS nq, {D.tokens("phrase")} AS bag FROM q0),
+w AS (SELECT doc_id AS work_id, '10.1000/w.' || doc_id AS doi, {D.norm(t)} AS nt, {D.tokens(t)} AS tbag, {D.tokens("text")} AS abag, n_chars AS cited, CAST(1995 + doc_id % 25 AS INTEGER) AS year FROM documents),
 qc AS (SELECT query_id, len(bag) AS size, token, count(*) AS times FROM (SELECT query_id, bag, unnest(bag) AS token FROM q) GROUP BY ALL),
 tc AS (SELECT work_id, len(tbag) AS size, token, count(*) AS times FROM (SELECT work_id, tbag, unnest(tbag) AS token FROM w) GROUP BY ALL),
 ac AS (SELECT work_id, len(abag) AS size, token, count(*) AS times FROM (SELECT work_id, abag, unnest(abag) AS token FROM w) GROUP BY ALL),
 tp AS (SELECT query_id, work_id, sum(qc.times) / any_value(qc.size) AS tp, sum(tc.times) / any_value(tc.size) AS tr FROM qc JOIN tc USING (token) GROUP BY ALL),
 ap AS (SELECT query_id, work_id, sum(qc.times) / any_value(qc.size) AS ap, sum(ac.times) / any_value(ac.size) AS ar FROM qc JOIN ac USING (token) GROUP BY ALL),
 p AS (SELECT query_id, work_id, coalesce(tp, 0) AS tp, coalesce(tr, 0) AS tr, coalesce(ap, 0) AS ap, coalesce(ar, 0) AS ar FROM tp FULL JOIN ap USING (query_id, work_id)),
-f AS (SELECT p.*, mode, nq, nt, cited, {D.harmonic("tp", "tr")} AS f1, {D.harmonic("ap", "ar")} AS abstract_score, CASE WHEN mode = 'body' THEN tr ELSE 0 END AS coverage FROM p JOIN q USING (query_id) JOIN w USING (work_id)),
+f AS (SELECT p.*, mode, nq, nt, cited, year, year_hint, list_contains(dois, doi) AS doi_hit, {D.harmonic("tp", "tr")} AS f1, {D.harmonic("ap", "ar")} AS abstract_score, CASE WHEN mode = 'body' THEN tr ELSE 0 END AS coverage FROM p JOIN q USING (query_id) JOIN w USING (work_id)),
 g AS (SELECT *, {D.similarity("nq", "nt", "f1")} AS title_score FROM f),
 s0 AS (SELECT *, CASE WHEN mode = 'body' THEN coverage * 0.5 + abstract_score * 0.4 + title_score * 0.15 ELSE title_score * 0.88 + abstract_score * 0.08 END AS s FROM g),
 s1 AS (SELECT * EXCLUDE s, CASE WHEN title_score >= 0.97 THEN greatest(s, 0.98) WHEN title_score >= 0.9 THEN greatest(s, title_score * 0.96 + abstract_score * 0.04) ELSE s END AS s FROM s0),
 s2 AS (SELECT * EXCLUDE s, CASE WHEN mode = 'body' AND abstract_score >= 0.3 THEN greatest(s, abstract_score * 0.85 + coverage * 0.2) ELSE s END AS s FROM s1),
 s3 AS (SELECT * EXCLUDE s, CASE WHEN mode = 'body' AND coverage >= 0.7 THEN greatest(s, coverage * 0.82) ELSE s END AS s FROM s2),
-s4 AS (SELECT * EXCLUDE s, {D.rounded("least(1.0, s + least(0.02, log10(cited + 1) / 200))", 9)} AS score FROM s3),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cited DESC, work_id) AS rank FROM s4 WHERE score >= CASE WHEN mode = 'title' THEN 0.42 ELSE 0.22 END)"""
+s4 AS (SELECT * EXCLUDE s, CASE WHEN year_hint = year THEN least(1.0, s + 0.03) WHEN abs(year_hint - year) > 2 THEN s * 0.85 ELSE s END AS s FROM s3),
+s5 AS (SELECT * EXCLUDE s, {D.rounded("least(1.0, CASE WHEN doi_hit THEN greatest(s, 0.99) ELSE s END + least(0.02, log10(cited + 1) / 200))", 9)} AS score FROM s4),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cited DESC, work_id) AS rank FROM s5 WHERE score >= CASE WHEN mode = 'title' THEN 0.42 ELSE 0.22 END)"""
 
 
 _LABEL = "CASE WHEN score >= 0.88 THEN '高度匹配' WHEN score >= 0.68 THEN '较可能' WHEN score >= 0.45 THEN '相关候选' ELSE '弱相关' END"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import matching, outputs, records, verification
+from quillspark.plans import lookups, matching, outputs, records, verification
 
-_PARTS = (matching, records, verification, outputs)
+_PARTS = (matching, records, verification, outputs, lookups)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _part in _PARTS:
