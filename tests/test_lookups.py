@@ -103,3 +103,15 @@ def test_evidence_names_tokens_years_and_identifiers(spark):
     assert got["doi_hit"] and got["score"] >= 0.99 and got["year_status"] == "near"
     assert got["matched"] == ["cardiac", "rhythm"] and got["missed"] == ["storms", "2002"]
     assert got["reasons"][0] == "DOI 直达" and "年份接近" in got["reasons"]
+
+
+def test_inputs_are_taken_by_priority(spark):
+    from quillspark.functions import references
+
+    rows = [(1, [f"reference {i:02}" for i in range(20)] + ["short"], "x", "y"), (2, None, " one ref ", "y"), (3, [], "", "12345678 and a reference"), (4, None, None, None), (5, [None, ""], "x", None), (6, None, "z" * 30001, None)]
+    df = spark.createDataFrame(rows, "k int, l array<string>, o string, t string")
+    got = {r["k"]: r["x"] for r in df.select("k", references.normalize_input(F.col("l"), F.col("o"), F.col("t")).alias("x")).collect()}
+    assert got[1]["refs"] == [f"reference {i:02}" for i in range(15)] and got[1]["truncated"]
+    assert got[2]["refs"] == ["one ref"] and not got[2]["truncated"]
+    assert got[3]["refs"] == ["12345678 and a reference"] and got[4]["refs"] == [] and got[5]["refs"] == []
+    assert len(got[6]["refs"][0]) == 30000 and got[6]["truncated"]
