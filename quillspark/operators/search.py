@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import rounded
+from quillspark.functions.text import rounded, tokens
 from quillspark.operators.linkage import postings, top
 
 
 def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, query_text: str, doc_text: str, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query, doc, score, rank) of the k best documents of each query.
 
-    The queries' distinct tokens filter the postings before they are weighted, so only postings
-    of asked tokens are shuffled further."""
-    index = postings(docs, doc_key, doc_text)
-    n, mean = docs.select(F.count(F.lit(1)), F.avg(F.size(_bag(docs, doc_text)))).first()
+    The queries' distinct tokens filter the words of the documents before they are counted: with few
+    enough to broadcast, only asked words are shuffled. Count and mean length are two numbers, by a scan of their own."""
+    bags = docs.select(doc_key, tokens(F.col(doc_text)).alias("bag")).withColumn("size", F.size("bag"))
     asked = postings(queries, query_key, query_text).select(query_key, "token")
-    hits = index.join(asked.select("token").distinct(), "token", "left_semi")
+    words = bags.select(doc_key, "size", F.explode("bag").alias("token"))
+    hits = words.join(asked.select("token").distinct(), "token", "left_semi").groupBy(doc_key, "size", "token").agg(F.count(F.lit(1)).alias("times"))
+    n, mean = bags.select(F.count(F.lit(1)), F.avg("size")).first()
     frequency = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("times") * (k1 + 1) / (F.col("times") + k1 * (1 - b + b * F.col("size") / (mean or 1.0)))
@@ -25,8 +26,3 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, quer
     scored = asked.join(weighted, "token").groupBy(query_key, doc_key).agg(rounded(F.sum("weight")).alias("score"))
     return top(scored, query_key, k, F.desc("score"), F.asc(doc_key))
 
-
-def _bag(docs: DataFrame, text: str):
-    from quillspark.functions.text import tokens
-
-    return tokens(docs[text])
