@@ -150,3 +150,29 @@ def abstracts_of(xml: Column) -> Column:
 
     found = F.transform(F.split(xml, "(?i)</PubmedArticle>"), lambda c: F.struct(tag(c).alias("key"), text(c).alias("abstract")))
     return F.filter(found, lambda x: (x["key"] != "") & (x["abstract"] != ""))
+
+
+def page_span(first: Column, last: Column) -> Column:
+    """First and last page with a hyphen, the first page alone, or null."""
+    known = F.nullif(first, F.lit(""))
+    return F.when(known.isNotNull() & (last != ""), F.concat(known, F.lit("-"), last)).otherwise(known)
+
+
+def first_year(printed: Column, issued: Column, online: Column) -> Column:
+    """Year of the first dated form, dates being arrays that begin with the year; 0 is no year."""
+    return F.coalesce(*[F.nullif(F.get(d, F.lit(0)), F.lit(0)) for d in (printed, issued, online)])
+
+
+def short_abstract(text: Column, most: int = 900) -> Column:
+    """Without tags, up to 900 characters; null if nothing is left."""
+    return F.nullif(F.substring(T.squeeze(F.regexp_replace(text, "<[^>]+>", " ")), 1, most), F.lit(""))
+
+
+def index_title(title: Column) -> Column:
+    """Without its last full stop; null for rows that have no title of their own."""
+    return F.when((title != "") & (title != "Untitled"), T.strip(F.regexp_replace(title, r"\.$", "")))
+
+
+def family_first(names: Column) -> Column:
+    """Display names as "Family Given", joined; null if there is none."""
+    return F.nullif(F.array_join(F.transform(_filled(names), lambda n: T.let(author_of(n), lambda a: F.concat_ws(" ", a["family"], a["given"]))), ", "), F.lit(""))

@@ -316,7 +316,33 @@ _YEARS_SQL = """WITH w AS (SELECT doc_id, source AS container, n_chars AS cited,
 k AS (SELECT *, row_number() OVER (PARTITION BY container ORDER BY year DESC, doc_id) AS rank FROM w WHERE year IS NOT NULL), n AS (SELECT container, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS newest FROM k WHERE rank <= 12 GROUP BY container)
 SELECT container, coalesce(min(year), 2000) AS first, coalesce(max(year), 2026) AS last, bool_and(cited > 1000) AS all_cited, bool_or(cited > 10000) AS any_cited, any_value(newest) AS newest FROM w LEFT JOIN n USING (container) GROUP BY container"""
 
-QUERIES = {f.__name__: f for f in (identifiers_extract, identifier_kinds, work_resolve, match_evidence, dataset_cite, paper_rows, trial_rows, adverse_event_rows, search_pages, first_extract, user_messages, record_panel, xml_abstracts, curated_filter, author_objects, year_lists)}
+_TAGGED = "case when doc_id % 6 = 0 then '<jats:p> </jats:p>' when doc_id % 6 = 1 then null else concat('<jats:p>', text, '</jats:p>') end"
+
+
+def record_rows(spark, d):
+    """Documents as records of registry, library and index: years by priority, pages, abstracts, titles, names."""
+    x = S.table(spark, d, "documents").select("doc_id", "text", F.expr(_TAGGED).alias("tagged"))
+    n = F.col("doc_id").cast("int")
+    dates = [F.when(n % k > 0, F.array(F.when(n % j == 0, 0).otherwise(1990 + n % m), F.lit(1))) for k, j, m in ((2, 3, 20), (3, 5, 21), (5, 7, 22))]
+    s = F.col("doc_id").cast("string")
+    title = F.expr("case doc_id % 5 when 0 then 'Untitled' when 1 then '' when 2 then concat('On ', cast(doc_id as string), '.') when 3 then concat('On ', cast(doc_id as string), ' .. ') end")
+    names = F.when(n % 4 > 0, F.array(F.lit("Ada B Lovelace"), F.when(n % 3 > 0, F.concat(F.lit("Name"), s)), F.lit("")))
+    return x.select(
+        "doc_id",
+        R.first_year(*dates).alias("year"),
+        R.page_span(F.when(n % 3 > 0, s), F.when(n % 2 > 0, s)).alias("pages"),
+        F.md5(R.short_abstract(F.col("tagged")).cast("binary")).alias("abstract_md5"),
+        R.index_title(title).alias("title"),
+        R.family_first(names).alias("authors"),
+    )
+
+
+_RECORD_SQL = f"""WITH x AS (SELECT doc_id, CAST(doc_id AS INTEGER) AS n, CAST(doc_id AS VARCHAR) AS s, {_TAGGED} AS tagged FROM documents)
+SELECT doc_id, coalesce(CASE WHEN n % 2 > 0 AND n % 3 > 0 THEN 1990 + n % 20 END, CASE WHEN n % 3 > 0 AND n % 5 > 0 THEN 1990 + n % 21 END, CASE WHEN n % 5 > 0 AND n % 7 > 0 THEN 1990 + n % 22 END) AS year,
+    CASE WHEN n % 3 > 0 THEN s || CASE WHEN n % 2 > 0 THEN '-' || s ELSE '' END END AS pages, md5(nullif(substr({D.squeeze("regexp_replace(tagged, '<[^>]+>', ' ', 'g')")}, 1, 900), '')) AS abstract_md5,
+    CASE n % 5 WHEN 2 THEN 'On ' || s WHEN 3 THEN 'On ' || s || ' ..' END AS title, CASE WHEN n % 4 > 0 THEN 'Lovelace Ada B' || CASE WHEN n % 3 > 0 THEN ', Name' || s ELSE '' END END AS authors FROM x"""
+
+QUERIES = {f.__name__: f for f in (identifiers_extract, identifier_kinds, work_resolve, match_evidence, dataset_cite, paper_rows, trial_rows, adverse_event_rows, search_pages, first_extract, user_messages, record_panel, xml_abstracts, curated_filter, author_objects, year_lists, record_rows)}
 ORACLES = {
     "identifiers_extract": _IDENTIFIERS_SQL,
     "identifier_kinds": _KINDS_SQL,
@@ -334,4 +360,5 @@ ORACLES = {
     "curated_filter": _CURATED_SQL,
     "author_objects": _AUTHOR_SQL,
     "year_lists": _YEARS_SQL,
+    "record_rows": _RECORD_SQL,
 }

@@ -115,3 +115,13 @@ def test_inputs_are_taken_by_priority(spark):
     assert got[2]["refs"] == ["one ref"] and not got[2]["truncated"]
     assert got[3]["refs"] == ["12345678 and a reference"] and got[4]["refs"] == [] and got[5]["refs"] == []
     assert len(got[6]["refs"][0]) == 30000 and got[6]["truncated"]
+
+
+def test_records(spark):
+    spans = spark.createDataFrame([("1", "9"), ("1", None), ("", "9"), (None, None)], "a string, b string").select(R.page_span(F.col("a"), F.col("b")).alias("x"))
+    assert [r["x"] for r in spans.collect()] == ["1-9", "1", None, None]
+    years = spark.createDataFrame([([0, 3], [1999], [2001]), (None, [], [2001, 2]), (None, None, None)], "a array<int>, b array<int>, c array<int>").select(R.first_year(*[F.col(c) for c in "abc"]).alias("x"))
+    assert [r["x"] for r in years.collect()] == [1999, 2001, None]
+    assert [_one(spark, t, R.index_title) for t in ("A title.", "Untitled", "", None)] == ["A title", None, None, None]
+    assert _one(spark, "<p> a </p>b" + "c" * 999, R.short_abstract) == "a b" + "c" * 897 and _one(spark, "<p/>", R.short_abstract) is None
+    assert _one(spark, ["Ada B Lovelace", None, "Plato"], R.family_first, "array<string>") == "Lovelace Ada B, Plato"
