@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontamination, fingerprints, html_text, mixing, ngram_join, quality, secrets, substrings, toxicity, warc
+from quillspark.llm import decontamination, divergence, fingerprints, html_text, mixing, ngram_join, pii, quality, secrets, substrings, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.fingerprints,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_warc": lambda spark, sf_dir: warc.round_trip(spark, sf_dir).drop("digest_ok"),
     "op9_ngram_join": ngram_join.components_of_documents,
     "op10_secrets": secrets.find,
+    "op12_divergence": divergence.audit,
+    "op13_pii": pii.find,
 }
 
 _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(5), lambda k: CAST(substr(
@@ -26,6 +28,7 @@ ORACLES = {
     "op9_ngram_join": ngram_join.ORACLE,
     "op3_decontamination": decontamination.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op12_divergence": divergence.ORACLE,
     "op8_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
