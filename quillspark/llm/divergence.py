@@ -38,15 +38,15 @@ _BLOCK = 64
 _CELLS = 1 << 20
 
 
-def _terms(data: bytes) -> Iterator[list[bytes]]:
+def _terms(data: bytes, size: int) -> Iterator[list[bytes]]:
     """Terms of a UTF-8 text, a slice at a time; slices end between terms."""
     at = 0
     while at < len(data):
-        part = data[at : at + _SLICE].translate(_TABLE)
-        if at + _SLICE < len(data):
+        part = data[at : at + size].translate(_TABLE)
+        if at + size < len(data):
             cut = part.rfind(b" ") + 1
             while not cut:  # one term fills the slice
-                more = data[at + len(part) : at + len(part) + _SLICE].translate(_TABLE)
+                more = data[at + len(part) : at + len(part) + size].translate(_TABLE)
                 cut = (len(part) + more.find(b" ") + 1) if b" " in more else 0
                 part += more
                 if not more:
@@ -56,46 +56,49 @@ def _terms(data: bytes) -> Iterator[list[bytes]]:
         yield part.split()
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task's documents, given out whenever many are held. A row without term names each
-    (lang, source) that occurs."""
-    counts: dict[tuple[str, str], Counter] = {}
-    docs: dict[tuple[str, str], Counter] = {}
-
-    def rows() -> pa.RecordBatch:
-        keys, terms, times, of = [], [], [], []
-        for key, c in counts.items():
-            keys += [key] * (len(c) + 1)
-            terms += [None, *c]
-            times += [0, *c.values()]
-            of += [0, *map(docs[key].__getitem__, c)]
-        counts.clear()
-        docs.clear()
-        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(times, pa.int64()), pa.array(of, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
-
-    for batch in batches:
-        texts = batch.column(2).cast(pa.large_string()).cast(pa.large_binary())
-        for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            c, d = counts.setdefault(key, Counter()), docs.setdefault(key, Counter())
-            found: set[bytes] = set()
-            for part in _terms(texts[i].as_py()):
-                c.update(part)
-                found.update(part)
-            d.update(found)
-            if i % 64 == 63 and sum(map(len, counts.values())) > _HELD:
+def _counter(size: int, held: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of a task's documents, given out whenever over held terms are held. A row without term
+        names each (lang, source) that occurs."""
+        counts: dict[tuple[str, str], Counter] = {}
+        docs: dict[tuple[str, str], Counter] = {}
+
+        def rows() -> pa.RecordBatch:
+            keys, terms, times, of = [], [], [], []
+            for key, c in counts.items():
+                keys += [key] * (len(c) + 1)
+                terms += [None, *c]
+                times += [0, *c.values()]
+                of += [0, *map(docs[key].__getitem__, c)]
+            counts.clear()
+            docs.clear()
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(times, pa.int64()), pa.array(of, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+
+        for batch in batches:
+            texts = batch.column(2).cast(pa.large_string()).cast(pa.large_binary())
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                c, d = counts.setdefault(key, Counter()), docs.setdefault(key, Counter())
+                found: set[bytes] = set()
+                for part in _terms(texts[i].as_py(), size):
+                    c.update(part)
+                    found.update(part)
+                d.update(found)
+                if i % 64 == 63 and sum(map(len, counts.values())) > held:
+                    yield rows()
+            if sum(map(len, counts.values())) > held:
                 yield rows()
-        if sum(map(len, counts.values())) > _HELD:
+        if counts:
             yield rows()
-    if counts:
-        yield rows()
+
+    return count
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term and documents that hold it, of docs
     (text, lang, source); a row with a null term for each (lang, source)."""
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    counted = rows.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    counted = rows.mapInArrow(_counter(_SLICE, _HELD), "lang string, source string, term string, n long, docs long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -109,39 +112,42 @@ def _distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return d * d // (p + q)
 
 
-def _cells(bitsets: pa.Table, sources: pa.Table) -> pa.Table:
-    """Sums of f over the terms of one shelf, for the pairs of sources of two blocks (or of one). bitsets:
-    no, word, p, bits. sources: no, p0, terms of the shelf, lo and hi of the group."""
-    no, p0, terms, lo, hi = (sources[c].to_numpy() for c in ("no", "p0", "terms", "lo", "hi"))
-    order = np.argsort(no)
-    no, p0, terms, lo, hi = no[order], p0[order], int(terms[0]) if len(terms) else 0, int(lo[0]) if len(lo) else 0, int(hi[0]) if len(hi) else 0
-    a, b = np.flatnonzero(no // _BLOCK == lo), np.flatnonzero(no // _BLOCK == hi)
-    total = np.zeros((len(a), len(b)), dtype=np.int64)
-    either = np.zeros((len(a), len(b)), dtype=np.int64)
-    of, word, p = (bitsets[c].to_numpy() for c in ("no", "word", "p"))
-    bits = bitsets["bits"].to_numpy().view(np.uint64)
-    side_a, side_b = of // _BLOCK == lo, of // _BLOCK == hi
-    for w in np.unique(word):
-        left, right = np.flatnonzero(side_a & (word == w)), np.flatnonzero(side_b & (word == w))
-        la, lb = np.searchsorted(no[a], of[left]), np.searchsorted(no[b], of[right])
-        used_a, used_b = np.zeros(len(a), dtype=np.uint64), np.zeros(len(b), dtype=np.uint64)
-        np.bitwise_or.at(used_a, la, bits[left])
-        np.bitwise_or.at(used_b, lb, bits[right])
-        step = max(1, _CELLS // max(1, len(right)))
-        for at in range(0, len(left), step):
-            rows = left[at : at + step]
-            both = bits[rows][:, None] & bits[right][None, :]
-            i, j = np.nonzero(both)
-            np.add.at(total, (la[at + i], lb[j]), np.bitwise_count(both[i, j]).astype(np.int64) * _distance(p[rows[i]], p[right[j]]))
-        alone = np.bitwise_count(bits[left][:, None] & ~used_b[None, :]).astype(np.int64)
-        np.add.at(total, la, alone * _distance(p[left][:, None], p0[b][None, :]))
-        alone = np.bitwise_count(bits[right][:, None] & ~used_a[None, :]).astype(np.int64)
-        np.add.at(total.T, lb, alone * _distance(p[right][:, None], p0[a][None, :]))
-        either += np.bitwise_count(used_a[:, None] | used_b[None, :])
-    if terms:
-        total += (terms - either) * _distance(p0[a][:, None], p0[b][None, :])
-    i, j = np.nonzero(no[a][:, None] < no[b][None, :])
-    return pa.table({"lang": pa.array([sources["lang"][0].as_py() if len(sources) else ""] * len(i), pa.string()), "a": no[a][i], "b": no[b][j], "value": total[i, j]})
+def _summer(block: int):
+    def cells(bitsets: pa.Table, sources: pa.Table) -> pa.Table:
+        """Sums of f over the terms of one shelf, for the pairs of sources of two blocks (or of one). bitsets:
+        no, word, p, bits. sources: no, p0, terms of the shelf, lo and hi of the group."""
+        no, p0, terms, lo, hi = (sources[c].to_numpy() for c in ("no", "p0", "terms", "lo", "hi"))
+        order = np.argsort(no)
+        no, p0, terms, lo, hi = no[order], p0[order], int(terms[0]) if len(terms) else 0, int(lo[0]) if len(lo) else 0, int(hi[0]) if len(hi) else 0
+        a, b = np.flatnonzero(no // block == lo), np.flatnonzero(no // block == hi)
+        total = np.zeros((len(a), len(b)), dtype=np.int64)
+        either = np.zeros((len(a), len(b)), dtype=np.int64)
+        of, word, p = (bitsets[c].to_numpy() for c in ("no", "word", "p"))
+        bits = bitsets["bits"].to_numpy().view(np.uint64)
+        side_a, side_b = of // block == lo, of // block == hi
+        for w in np.unique(word):
+            left, right = np.flatnonzero(side_a & (word == w)), np.flatnonzero(side_b & (word == w))
+            la, lb = np.searchsorted(no[a], of[left]), np.searchsorted(no[b], of[right])
+            used_a, used_b = np.zeros(len(a), dtype=np.uint64), np.zeros(len(b), dtype=np.uint64)
+            np.bitwise_or.at(used_a, la, bits[left])
+            np.bitwise_or.at(used_b, lb, bits[right])
+            step = max(1, _CELLS // max(1, len(right)))
+            for at in range(0, len(left), step):
+                rows = left[at : at + step]
+                both = bits[rows][:, None] & bits[right][None, :]
+                i, j = np.nonzero(both)
+                np.add.at(total, (la[at + i], lb[j]), np.bitwise_count(both[i, j]).astype(np.int64) * _distance(p[rows[i]], p[right[j]]))
+            alone = np.bitwise_count(bits[left][:, None] & ~used_b[None, :]).astype(np.int64)
+            np.add.at(total, la, alone * _distance(p[left][:, None], p0[b][None, :]))
+            alone = np.bitwise_count(bits[right][:, None] & ~used_a[None, :]).astype(np.int64)
+            np.add.at(total.T, lb, alone * _distance(p[right][:, None], p0[a][None, :]))
+            either += np.bitwise_count(used_a[:, None] | used_b[None, :])
+        if terms:
+            total += (terms - either) * _distance(p0[a][:, None], p0[b][None, :])
+        i, j = np.nonzero(no[a][:, None] < no[b][None, :])
+        return pa.table({"lang": pa.array([sources["lang"][0].as_py() if len(sources) else ""] * len(i), pa.string()), "a": no[a][i], "b": no[b][j], "value": total[i, j]})
+
+    return cells
 
 
 def divergence(docs: DataFrame, least_docs: int = 10, top_terms: int = 10) -> DataFrame:
@@ -177,7 +183,7 @@ def divergence(docs: DataFrame, least_docs: int = 10, top_terms: int = 10) -> Da
     shelves = shelves.unionByName(groups.select("lang", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("shelf"), F.lit(0).cast("long").alias("terms")).distinct())
     sources = groups.select("lang", "no", "p0", "blocks").withColumns({"mine": mine, "other": other}).select("lang", *pair, "no", "p0").join(shelves, "lang")
     key = ["lang", "band", "shelf", "lo", "hi"]
-    cells = bitsets.groupBy(*key).cogroup(sources.groupBy(*key)).applyInArrow(_cells, "lang string, a long, b long, value long")
+    cells = bitsets.groupBy(*key).cogroup(sources.groupBy(*key)).applyInArrow(_summer(_BLOCK), "lang string, a long, b long, value long")
     pairs = cells.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     both = pairs.select("lang", "value", F.explode(F.array(F.struct(F.col("a").alias("no"), F.col("b").alias("item_no")), F.struct(F.col("b").alias("no"), F.col("a").alias("item_no")))).alias("x")).select("lang", "x.no", "x.item_no", "value")
     names = groups.select("lang", "no", "source")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontamination, divergence, fingerprints, html_text, mixing, ngram_join, pii, quality, secrets, substrings, toxicity, warc
+from quillspark.llm import decontamination, divergence, fingerprints, html_text, mixing, negatives, ngram_join, pii, quality, secrets, substrings, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.fingerprints,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": lambda spark, sf_dir: warc.round_trip(spark, sf_dir).drop("digest_ok"),
     "op9_ngram_join": ngram_join.components_of_documents,
     "op10_secrets": secrets.find,
+    "op11_negatives": negatives.hard_negatives,
     "op12_divergence": divergence.audit,
     "op13_pii": pii.find,
 }
@@ -28,6 +29,7 @@ ORACLES = {
     "op9_ngram_join": ngram_join.ORACLE,
     "op3_decontamination": decontamination.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op11_negatives": negatives.ORACLE,
     "op12_divergence": divergence.ORACLE,
     "op8_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
