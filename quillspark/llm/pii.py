@@ -46,6 +46,8 @@ WORD = rf"[^{_SPACE}:=#]++[:=#]*+"
 _LEFT = rf"""(?:^|[{_SPACE}:=#])([^{_SPACE}:=#]{{1,40}}[:=#]{{0,3}})[{_SPACE}"'(<\[]{{0,40}}$"""
 _RIGHT = rf"""^["')>\].,;!?]{{0,8}}[{_SPACE}]{{1,40}}([^{_SPACE}:=#]{{1,40}}(?:[:=#]{{1,3}}|(?=[{_SPACE}]|$)))"""
 _NEAR = 128
+#: Words of up to 40 characters: about 20 MB.
+_BROADCAST = 200_000
 _FOUND = "array<struct<start:bigint,end:bigint,found:string,before:string,after:string>>"
 _INSTANCE = "array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>"
 
@@ -151,9 +153,15 @@ def graph(scanned: DataFrame, docs: DataFrame, text: str = "text", support: int
     edges = materialize(spans.select("kind", "value", "p.side", "p.cue").where("cue <> ''").groupBy("side", "cue", "value", "kind").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
     seeded = edges.groupBy("side", "cue").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= support).select("side", "cue")
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit(WORD), F.lit(0))).alias("cue"))
-    occurs = words.join(seeded.select("cue").distinct(), "cue", "left_semi").groupBy("cue").agg(F.count(F.lit(1)).alias("occurs"))
+    # Few words stand next to as many identifiers: while they fit a broadcast, only those are counted; beyond
+    # that, all words are, and combine before they are shuffled.
+    cues = materialize(seeded.select("cue").distinct(), "pii-cues")
+    if cues.count() <= _BROADCAST:
+        words = words.join(F.broadcast(cues), "cue", "left_semi")
+    occurs = words.groupBy("cue").agg(F.count(F.lit(1)).alias("occurs"))
     out = materialize(edges.join(seeded.join(occurs, "cue", "left"), ["side", "cue"]).withColumn("occurs", F.coalesce("occurs", F.lit(0))), "pii-graph")
     release(edges)
+    release(cues)
     return out
 
 

@@ -201,8 +201,10 @@ def test_base_spans_against_brute_force(spark):
     assert pii.extract(frame.where("false")).count() == 0
 
 
-def test_patterns_find_unseen_identifiers(spark):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_patterns_find_unseen_identifiers(spark, monkeypatch, broadcast):
     """Words that mostly stand before seeds mark what else stands there; words that do so by chance don't."""
+    monkeypatch.setattr(pii, "_BROADCAST", broadcast)
     r = random.Random(6)
     texts = []
     for i in range(40):
