@@ -23,6 +23,13 @@ def overlap(left: DataFrame, right: DataFrame, lkey: str, rkey: str) -> DataFram
     return l.join(r, "token").groupBy(lkey, rkey).agg((F.sum("lt") / F.first("ls")).alias("precision"), (F.sum("rt") / F.first("rs")).alias("recall"))
 
 
+def overlap_of(pairs: DataFrame, left: DataFrame, right: DataFrame, lkey: str, rkey: str) -> DataFrame:
+    """The same of given pairs (lkey, rkey) only: their right postings meet the left ones by key and token."""
+    r = pairs.join(right.select(rkey, "token", F.col("times").alias("rt"), F.col("size").alias("rs")), rkey)
+    l = left.select(lkey, "token", F.col("times").alias("lt"), F.col("size").alias("ls"))
+    return r.join(l, [lkey, "token"]).groupBy(lkey, rkey).agg((F.sum("lt") / F.first("ls")).alias("precision"), (F.sum("rt") / F.first("rs")).alias("recall"))
+
+
 def token_f1_pairs(left: DataFrame, right: DataFrame, lkey: str, rkey: str, ltext: str, rtext: str) -> DataFrame:
     pairs = overlap(postings(left, lkey, ltext), postings(right, rkey, rtext), lkey, rkey)
     return pairs.select(lkey, rkey, sim.harmonic(F.col("precision"), F.col("recall")).alias("f1"))
@@ -45,11 +52,14 @@ def match_pairs(queries: DataFrame, works: DataFrame) -> DataFrame:
     # Wide columns join last, to the pairs only.
     named = works.select("work_id", T.normalize(F.col("title")).alias("nt"))
     asked = queries.select("query_id", "mode", T.normalize(F.col("phrase")).alias("nq"))
-    joined = pairs.join(named, "work_id").join(asked, "query_id")
-    return joined.select(
-        "query_id",
-        "work_id",
-        "mode",
+    return figures_of(pairs.join(named, "work_id").join(asked, "query_id"), "query_id", "work_id", "mode")
+
+
+def figures_of(pairs: DataFrame, *keep: str) -> DataFrame:
+    """title_score, abstract_score and coverage from normalised texts nq and nt, shares of shared tokens by title
+    (tp, tr) and abstract (ap, ar), and mode."""
+    return pairs.select(
+        *keep,
         sim.similarity_of_parts(F.col("nq"), F.col("nt"), F.col("tp"), F.col("tr")).alias("title_score"),
         sim.harmonic(F.col("ap"), F.col("ar")).alias("abstract_score"),
         F.when(F.col("mode") == "body", F.col("tr")).otherwise(0.0).alias("coverage"),
@@ -74,6 +84,11 @@ def match_score(mode: Column, title: Column, abstract: Column, coverage: Column,
     return score
 
 
+def threshold(mode: Column) -> Column:
+    """Least score of a match. Fixed values."""
+    return F.when(mode == "title", 0.42).otherwise(0.22)
+
+
 def score_label(score: Column) -> Column:
     #: Fixed values.
     return F.when(score >= 0.88, "高度匹配").when(score >= 0.68, "较可能").when(score >= 0.45, "相关候选").otherwise("弱相关")
@@ -89,7 +104,7 @@ def ranked_matches(queries: DataFrame, works: DataFrame, k: int = 8) -> DataFram
     pairs = pairs.withColumn("doi_hit", F.coalesce(F.array_contains("dois", F.lower("doi")), F.lit(False)) if by_doi else F.lit(False)).drop("dois", "doi")
     score = match_score(*[F.col(c) for c in ("mode", "title_score", "abstract_score", "coverage", "year_hint", "year", "n_sources", "doi_hit", "cited")])
     # Nine decimals, so that the order of a float sum can't decide a rank.
-    scored = pairs.withColumn("score", T.rounded(score, 9)).where(F.col("score") >= F.when(F.col("mode") == "title", 0.42).otherwise(0.22))
+    scored = pairs.withColumn("score", T.rounded(score, 9)).where(F.col("score") >= threshold(F.col("mode")))
     return top(scored, "query_id", k, F.desc("score"), F.desc("cited"), F.asc("work_id"))
 
 
