@@ -47,3 +47,29 @@ def layout(neighbours: DataFrame) -> DataFrame:
 
 def node_radius(cited: Column) -> Column:
     return F.greatest(F.lit(9.0), F.least(F.lit(30.0), 9 + 0.55 * F.sqrt(F.when(F.coalesce(cited, F.lit(0)) == 0, 1).otherwise(cited))))
+
+
+def planned(seeds: DataFrame, lists: list[tuple[str, DataFrame, int]], works: DataFrame, most: int = 20) -> DataFrame:
+    """(seed, node, relation, pos, loaded, cited) of every neighbour that is asked for, found or not.
+
+    lists: relation, (seed, node, place) and how many places count, in order of precedence; a node that comes
+    twice counts where it comes first, the seed never, and `most` are asked for. works: node, cited."""
+    cut = [rows.where(F.col("place") <= n).select("seed", "node", "place", F.lit(relation).alias("relation")) for relation, rows, n in lists]
+    asked = union_all(cut).where("seed <> node").join(seeds.select("seed"), "seed", "left_semi")
+    once = first_wins(asked, ["seed", "node"], F.asc("source_rank"), F.asc("place"))
+    placed = once.withColumn("pos", F.row_number().over(Window.partitionBy("seed").orderBy("source_rank", "place"))).where(F.col("pos") <= most)
+    known = works.select("node", "cited", F.lit(True).alias("known"))
+    return placed.join(known, "node", "left").select("seed", "node", "relation", "pos", F.coalesce("known", F.lit(False)).alias("loaded"), "cited")
+
+
+def loaded_stats(seeds: DataFrame, asked: DataFrame) -> DataFrame:
+    """Counts of what was loaded of each seed's neighbourhood, the seed included in nodes; failed are the
+    neighbours that were asked for without being found. Seeds without neighbours have a row, too."""
+    there = F.col("loaded")
+    kinds = [F.count_if(there & (F.col("relation") == k)).alias(f"n_{k.replace('-', '_')}") for k in ("related", "reference", "cited-by")]
+    counts = asked.groupBy("seed").agg(F.count_if(there).alias("edges"), F.count(F.lit(1)).alias("planned"), *kinds)
+    rows = seeds.select("seed").join(counts, "seed", "left").fillna(0)
+    #: Fixed value.
+    warning = F.concat(F.lit("有 "), F.col("failed").cast("string"), F.lit(" 个邻居节点未能加载（上游超时或限流）"))
+    rows = rows.withColumn("failed", F.col("planned") - F.col("edges"))
+    return rows.select("seed", (F.col("edges") + 1).alias("nodes"), "edges", "n_related", "n_reference", "n_cited_by", "failed", F.when(F.col("edges") >= 4, "citation-neighborhood").otherwise("sparse-neighborhood").alias("mode"), F.when(F.col("failed") > 0, warning).alias("warning"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import federated, lookups, matching, outputs, records, verification
+from quillspark.plans import federated, linking, lookups, matching, outputs, records, verification
 
-_PARTS = (matching, records, verification, outputs, lookups, federated)
+_PARTS = (matching, records, verification, outputs, lookups, federated, linking)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _part in _PARTS:
