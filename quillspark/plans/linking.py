@@ -6,12 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import branches as B
 from quillspark.operators import enrich as E
 from quillspark.operators import graph as G
 from quillspark.operators.linkage import top
 from quillspark.plans import duck as D
 from quillspark.sources import tables as S
 from quillspark.sources.nested import parse
+from quillspark.sources.staging import Stage
 
 _OPEN = "is_oa boolean, best_oa_location struct<url_for_pdf: string, url: string, host_type: string>, oa_locations array<struct<url_for_pdf: string, url: string, host_type: string>>"
 
@@ -153,5 +155,124 @@ t AS (SELECT s, list(topic ORDER BY n DESC, topic) AS t FROM c GROUP BY s)
 SELECT 'S' || s_suppkey AS id, coalesce(nullif(s_name, ''), 'Untitled journal') AS name, coalesce(works_count, 0) AS works_count, coalesce(cited_by_count, 0) AS cited_by_count, h_index, i10_index, {D.rounded("cited_by_count / works_count")} AS mean_cited,
     s_nationkey % 2 = 0 OR s_acctbal > 5000 AS open_in_list, s_nationkey % 2 = 0 AS open_in_detail, array_to_string(coalesce(t, [])[:5], ',') AS list_topics, array_to_string(coalesce(t, [])[:8], ',') AS detail_topics FROM supplier LEFT JOIN f ON f.s = s_suppkey LEFT JOIN t ON t.s = s_suppkey"""
 
-QUERIES = {"open_access_lookup": open_access_lookup, "papers_enrich_sources": papers_enrich_sources, "graph_failed": graph_failed, "journal_profile": journal_profile}
-ORACLES = {"open_access_lookup": _OPEN_SQL, "papers_enrich_sources": _ENRICH_SQL, "graph_failed": _FAILED_SQL, "journal_profile": _PROFILE_SQL}
+def _branches(spark, d):
+    """Each nation as a request, in five sources: suppliers in credit, or all of them where there is none;
+    customers of one segment, or of another where there is none; builders; orders as papers; the region as a trial."""
+    t = lambda name: S.table(spark, d, name)
+    text = lambda c: F.col(c).cast("string")
+
+    def hits(rows, request, prefix, key, kind, url, title, year, cited, doi=None):
+        return rows.select(
+            F.col(request).cast("int").alias("request"), F.concat(F.lit(prefix), text(key)).alias("id"), F.lit(kind).alias("kind"), (F.lit(None) if doi is None else doi).cast("string").alias("doi"), url.cast("string").alias("url"),
+            F.col(title).alias("title"), year.cast("int").alias("year"), F.floor(cited).cast("long").alias("cited"), F.col(key).cast("long").alias("pos"),
+        )
+
+    def suppliers(condition):
+        s = t("supplier").where(condition)
+        return lambda: hits(s, "s_nationkey", "omics:", "s_suppkey", "data", F.concat(F.lit("https://S.example.org/"), text("s_suppkey")), "s_name", F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") % 30 + 1995), F.col("s_acctbal"))
+
+    def customers(prefix, condition):
+        page = F.when(F.col("c_custkey") % 4 > 0, F.concat(F.lit("https://c.example.org/"), F.col("c_custkey").cast("string")))
+        return lambda: hits(t("customer").where(condition), "c_nationkey", prefix, "c_custkey", "data", page, "c_name", F.col("c_custkey") % 30 + 1995, F.col("c_acctbal"))
+
+    def orders():
+        o = t("orders").join(t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+        doi = F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("10.1/"), (F.col("o_orderkey") - F.col("o_orderkey") % 3).cast("string")))
+        return hits(o, "c_nationkey", "W", "o_orderkey", "paper", F.lit(None), "o_orderpriority", F.year("o_orderdate"), F.col("o_totalprice"), doi)
+
+    def regions():
+        n = t("nation").join(t("region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
+        return hits(n, "n_nationkey", "NCT", "n_regionkey", "trial", F.concat(F.lit("https://t.example.org/"), text("n_regionkey")), "r_name", F.lit(None), F.lit(None).cast("double"))
+
+    return [
+        B.Branch("data", lambda: suppliers("s_acctbal >= 8000")(), lambda: suppliers("true")()),
+        B.Branch("data", customers("fda:", "c_mktsegment = 'MACHINERY' and c_acctbal > 9990"), customers("fda2:", "c_mktsegment = 'AUTOMOBILE'")),
+        B.Branch("data", customers("doi:", "c_mktsegment = 'BUILDING' or c_acctbal > 9990")),
+        B.Branch("paper", orders),
+        B.Branch("trial", regions),
+    ]
+
+
+_BRANCH_SQL = (
+    ("data", "SELECT s_nationkey AS request, 'omics:' || s_suppkey AS id, 'data' AS kind, NULL AS doi, 'https://S.example.org/' || s_suppkey AS url, s_name AS title, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 30 + 1995 END AS year, floor(s_acctbal) AS cited, s_suppkey AS pos FROM supplier s WHERE s_acctbal >= 8000 OR NOT EXISTS (FROM supplier z WHERE z.s_nationkey = s.s_nationkey AND z.s_acctbal >= 8000)"),
+    ("data", "SELECT c_nationkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'fda:' ELSE 'fda2:' END || c_custkey, 'data', NULL, CASE WHEN c_custkey % 4 > 0 THEN 'https://c.example.org/' || c_custkey END, c_name, c_custkey % 30 + 1995, floor(c_acctbal), c_custkey FROM customer c WHERE (c_mktsegment = 'MACHINERY' AND c_acctbal > 9990) OR (c_mktsegment = 'AUTOMOBILE' AND NOT EXISTS (FROM customer z WHERE z.c_nationkey = c.c_nationkey AND z.c_mktsegment = 'MACHINERY' AND z.c_acctbal > 9990))"),
+    ("data", "SELECT c_nationkey, 'doi:' || c_custkey, 'data', NULL, CASE WHEN c_custkey % 4 > 0 THEN 'https://c.example.org/' || c_custkey END, c_name, c_custkey % 30 + 1995, floor(c_acctbal), c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal > 9990"),
+    ("paper", "SELECT c_nationkey, 'W' || o_orderkey, 'paper', CASE WHEN o_orderkey % 3 > 0 THEN '10.1/' || (o_orderkey - o_orderkey % 3) END, NULL, o_orderpriority, year(o_orderdate), floor(o_totalprice), o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey"),
+    ("trial", "SELECT n_nationkey, 'NCT' || n_regionkey, 'trial', NULL, 'https://t.example.org/' || n_regionkey, r_name, NULL, NULL, n_regionkey FROM nation JOIN region ON r_regionkey = n_regionkey"),
+)
+
+
+def _search_cte(kind: str, since: int) -> str:
+    wanted = [(i, sql) for i, (k, sql) in enumerate(x for x in _BRANCH_SQL if kind in B.WANTED[x[0]])]
+    rows = " UNION ALL ".join(f"SELECT CAST(a AS INTEGER) AS request, b AS id, c AS kind, d AS doi, e AS url, f AS title, CAST(g AS INTEGER) AS year, CAST(h AS BIGINT) AS cited, CAST(i AS BIGINT) AS pos, {n} AS source_rank FROM ({sql}) t(a, b, c, d, e, f, g, h, i)" for n, sql in wanted)
+    return f"""WITH u AS ({rows}),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request, coalesce('doi:' || lower(doi), 'url:' || lower(url), id) ORDER BY source_rank, pos, id) AS n FROM u) WHERE n = 1 AND (year IS NULL OR year = 0 OR year >= {since}))"""
+
+
+def datasets_search(kind: str, since: int, order: str):
+    def query(spark, d):
+        """Every hit of each nation's request in its place."""
+        with Stage(spark) as stage:
+            hits, _ = B.search(_branches(spark, d), kind, since, order, stage)
+            return stage.keep(hits.select("request", "place", "id", "kind", "title", "year", "cited"))
+
+    return query
+
+
+def _search_sql(kind: str, since: int, order: str) -> str:
+    by = {"relevance": "", "citations": "coalesce(cited, 0) DESC, ", "date": "coalesce(year, 0) DESC, "}[order]
+    return f"{_search_cte(kind, since)} SELECT request, CAST(row_number() OVER (PARTITION BY request ORDER BY {by}source_rank, pos, id) AS INTEGER) AS place, id, kind, title, year, cited FROM o" + ("" if kind == "all" else f" WHERE kind = '{kind}'")
+
+
+def datasets_facets(spark, d):
+    """Hits by kind of each nation's request, all types, since 1998."""
+    with Stage(spark) as stage:
+        return stage.keep(B.search(_branches(spark, d), "all", 1998, "relevance", stage)[1])
+
+
+#: Fixed value: words that widen a query to medicine.
+_BIAS = ("medicine", "clinical", "biomedical", "dataset")
+
+
+def papers_field_filter(spark, d):
+    """Parts as papers whose fields overlap with what each nation's request asks for, open ones only for some: the
+    first page by price, and the total that either of two sources reports. The second source matches words,
+    with words that widen the query."""
+    n = S.table(spark, d, "nation").select(F.col("n_nationkey").alias("request"), F.expr("array(element_at(array('ECONOMY', 'SMALL', 'MEDIUM', 'PROMO', 'STANDARD', 'LARGE'), n_nationkey % 6 + 1), concat('Brand#', cast(n_nationkey % 25 + 1 as string)))").alias("fields"), (F.col("n_nationkey") % 3 == 0).alias("only_open"), F.expr("element_at(array('small ring', 'red medicine', 'hot widget', 'blue'), n_nationkey % 4 + 1)").alias("q"))
+    parts = S.table(spark, d, "part")
+    works = parts.select(F.col("p_partkey").alias("work"), F.array("p_type", "p_brand").alias("fields"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("https://p.example.org/"), F.col("p_partkey").cast("string"))).alias("pdf"), F.col("p_retailprice").alias("price"), "p_name")
+    pairs = B.overlapping(n, works, "request", "work", "fields").join(works.select("work", "pdf", "price"), "work").join(n.select("request", "only_open"), "request").where(~F.col("only_open") | F.col("pdf").isNotNull())
+    words = n.select("request", B.biased(F.split("q", " "), _BIAS).alias("words"))
+    named = B.overlapping(words, works.select("work", F.split("p_name", " ").alias("words")), "request", "work", "words").groupBy("request").agg(F.count(F.lit(1)).alias("named"))
+    counts = pairs.groupBy("request", "only_open").agg(F.count(F.lit(1)).alias("by_field")).join(named, "request", "left")
+    page = top(pairs, "request", 12, F.desc("price"), F.asc("work"))
+    of = counts.select("request", B.total(F.col("only_open"), F.least("by_field", F.lit(12)), F.col("by_field"), F.coalesce("named", F.lit(0))).alias("total"))
+    return page.join(of, "request").select("request", "rank", "work", "pdf", "total")
+
+
+_FIELD_SQL = """
+WITH n AS (SELECT n_nationkey AS request, [['ECONOMY', 'SMALL', 'MEDIUM', 'PROMO', 'STANDARD', 'LARGE'][n_nationkey % 6 + 1], 'Brand#' || (n_nationkey % 25 + 1)] AS fields, n_nationkey % 3 = 0 AS only_open, ['small ring', 'red medicine', 'hot widget', 'blue'][n_nationkey % 4 + 1] || ' medicine clinical biomedical dataset' AS q FROM nation),
+w AS (SELECT p_partkey AS work, [p_type, p_brand] AS fields, CASE WHEN p_size % 2 = 0 THEN 'https://p.example.org/' || p_partkey END AS pdf, p_retailprice AS price, p_name FROM part),
+p AS (SELECT request, only_open, work, pdf, price FROM n JOIN w ON list_has_any(n.fields, w.fields) WHERE NOT only_open OR pdf IS NOT NULL),
+t AS (SELECT request, count(*) AS named FROM n JOIN w ON list_has_any(string_split(q, ' '), string_split(p_name, ' ')) GROUP BY request),
+c AS (SELECT request, CASE WHEN only_open THEN least(count(*), 12) ELSE greatest(count(*), coalesce(any_value(named), 0)) END AS total FROM p LEFT JOIN t USING (request) GROUP BY request, only_open)
+SELECT request, CAST(rank AS INTEGER) AS rank, work, pdf, total FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY price DESC, work) AS rank FROM p) JOIN c USING (request) WHERE rank <= 12"""
+
+_SEARCHES = {"datasets_search_all": ("all", 1998, "citations"), "datasets_search_data": ("data", 2000, "date"), "datasets_search_paper": ("paper", 1999, "relevance"), "datasets_search_trial": ("trial", 1990, "relevance")}
+
+QUERIES = {
+    "open_access_lookup": open_access_lookup,
+    "papers_enrich_sources": papers_enrich_sources,
+    "graph_failed": graph_failed,
+    "journal_profile": journal_profile,
+    "datasets_facets": datasets_facets,
+    "papers_field_filter": papers_field_filter,
+} | {name: datasets_search(*x) for name, x in _SEARCHES.items()}
+ORACLES = {
+    "open_access_lookup": _OPEN_SQL,
+    "papers_enrich_sources": _ENRICH_SQL,
+    "graph_failed": _FAILED_SQL,
+    "journal_profile": _PROFILE_SQL,
+    "datasets_facets": f"{_search_cte('all', 1998)} SELECT request, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {k}" for k in B.WANTED) + " FROM o GROUP BY request",
+    "papers_field_filter": _FIELD_SQL,
+} | {name: _search_sql(*x) for name, x in _SEARCHES.items()}

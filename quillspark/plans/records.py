@@ -9,9 +9,11 @@ from quillspark.functions import text as T
 from quillspark.operators import graph as G
 from quillspark.operators import merge as M
 from quillspark.operators.linkage import top
+from quillspark.operators.ranking import places
 from quillspark.operators.search import bm25
 from quillspark.plans import duck as D
 from quillspark.sources import tables as S
+from quillspark.sources.staging import Stage
 
 
 def _pages(spark, d, k=12):
@@ -132,12 +134,10 @@ def datasets_union_facets(spark, d):
 
 
 def datasets_since_type_sort(spark, d):
-    """All data hits with their rank by citations; ranks are counted within equal numbers, and those
-    before a number added up, so that no task sorts all hits."""
+    """All data hits with their rank by citations; no task sorts all hits."""
     found = _hits(spark, d).where("(year is null or year = 0 or year >= 2005) and kind = 'data'").withColumn("n", F.coalesce("cited", F.lit(0)))
-    before = found.groupBy("n").agg(F.count(F.lit(1)).alias("times")).select("n", (F.sum("times").over(Window.orderBy(F.desc("n"))) - F.col("times")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("n").orderBy("source_rank", "pos"))
-    return found.withColumn("place", place).join(before, "n").select("tag", "pos", "title", "cited", "year", (F.col("before") + F.col("place")).cast("int").alias("rank"))
+    with Stage(spark) as stage:
+        return stage.keep(places(found, [], [F.desc("n"), F.asc("source_rank"), F.asc("pos")], stage, "rank").select("tag", "pos", "title", "cited", "year", "rank"))
 
 
 def source_status(spark, d):
@@ -168,9 +168,10 @@ _EVENTS = "e AS (SELECT user_id, event_id, ts, event_type, value, CAST(props->>'
 
 
 def supplement_when_thin(spark, d):
-    """Suppliers of a nation, and where there are less than 4 customers too, 10 at most."""
-    s = S.table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("id"), F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("pos"))
-    c = S.table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("pos"))
+    """Suppliers of a nation, and where there are less than 4 customers too, 10 at most; of each list no
+    more places are counted than can be among them."""
+    s = S.table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("id"), F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("pos")).where("pos <= 10")
+    c = S.table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("pos")).where("pos <= 20")
     return M.supplement(s, c, "nation", "id", 4, 10).select("nation", "id", "source_rank", "place")
 
 
