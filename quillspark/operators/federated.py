@@ -1,8 +1,7 @@
 """Candidates for a title or a passage from five libraries, merged into one list and ranked.
 
 Every library holds a part of the works and has its own fields: how it is asked, how many rows it gives,
-whether it knows DOIs and abstracts. All of them are searched over one index of the asked words, in which a
-space is a library and a field. Passages are asked a second time by their key words in three libraries."""
+whether it knows DOIs and abstracts. All of them are searched over one index of the asked words. Passages are asked a second time by their key words in three libraries."""
 
 from __future__ import annotations
 
@@ -31,23 +30,24 @@ def _bit(mask: Column, library: Column | int) -> Column:
     return F.getbit(mask, F.lit(library) if isinstance(library, int) else library) == 1
 
 
-def index(works: DataFrame, words: DataFrame, stage: Stage, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(space, token, doc, weight) of the words asked for, by BM25 within each space. works: work_id, mask (a bit
-    for each library), title, text. One pass over the texts: each field also gives an empty token, which
-    brings its size for count and mean."""
-    fields = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), T.tokens(F.col(c)).alias("bag")) for i, c in enumerate(("title", "text"))]))
-    bags = works.select(F.col("work_id").alias("doc"), "mask", fields.alias("f")).select("doc", "mask", "f.field", F.size("f.bag").alias("size"), F.explode(F.concat("f.bag", F.array(F.lit("")))).alias("token"))
+def index(works: DataFrame, words: DataFrame, stage: Stage, k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """Postings (space, token, doc, mask, weight) of the words asked for, and their factors (library, space, token, factor)
+    in each library: BM25 in two parts. A space is a field. works: work_id, mask (a bit for each library),
+    title, text. One pass over the texts: each field also gives an empty token, which brings its size for count
+    and mean."""
+    fields = F.explode(F.array(*[F.struct(F.lit(i).alias("space"), T.tokens(F.col(c)).alias("bag")) for i, c in enumerate(("title", "text"))]))
+    bags = works.select(F.col("work_id").alias("doc"), "mask", fields.alias("f")).select("doc", "mask", "f.space", F.size("f.bag").alias("size"), F.explode(F.concat("f.bag", F.array(F.lit("")))).alias("token"))
     wanted = words.select("token").distinct().unionByName(words.sparkSession.range(1).select(F.lit("").alias("token")))
-    counted = stage(bags.join(wanted, "token", "left_semi").groupBy("doc", "mask", "field", "size", "token").agg(F.count(F.lit(1)).alias("times")))
-    used = {(l, f) for l, f, _ in (*TITLE, *BODY, *AGAIN, *SECOND) if f is not None}
-    libraries = F.filter(F.array(*map(F.lit, range(len(NAMES)))), lambda l: _bit(F.col("mask"), l))
-    spread = counted.select("*", F.explode(libraries).alias("library")).withColumn("space", F.col("library") * 2 + F.col("field")).where(F.col("space").isin([2 * l + f for l, f in used]))
-    size = spread.where("token = ''").groupBy("space").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
-    hits = spread.where("token <> ''")
-    frequency = hits.groupBy("space", "token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("times") * (k1 + 1) / (F.col("times") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    return stage(hits.join(frequency, ["space", "token"]).join(size, "space").select("space", "token", "doc", weight.alias("weight")))
+    counted = stage(bags.join(wanted, "token", "left_semi").groupBy("doc", "mask", "space", "size", "token").agg(F.count(F.lit(1)).alias("times")))
+    held = [F.count_if(_bit(F.col("mask"), l)).alias(f"n{l}") for l in range(len(NAMES))]
+    of_library = F.inline(F.array(*[F.struct(F.lit(l).alias("library"), F.col(f"n{l}").alias("n")) for l in range(len(NAMES))]))
+    size = counted.where("token = ''").groupBy("space").agg(F.avg("size").alias("mean"), *held)
+    hits = counted.where("token <> ''")
+    df = hits.groupBy("space", "token").agg(*held).select("space", "token", of_library).withColumnRenamed("n", "df").where("df > 0")
+    factor = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (k1 + 1)
+    factors = df.join(size.select("space", of_library), ["space", "library"]).select("library", "space", "token", factor.alias("factor"))
+    weight = F.col("times") / (F.col("times") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
+    return stage(hits.join(F.broadcast(size.select("space", "mean")), "space").select("space", "token", "doc", "mask", weight.alias("weight"))), stage(factors)
 
 
 def _asks(queries: DataFrame, mode: str, lists, first: int = 0, text: Column | None = None) -> DataFrame:
@@ -63,8 +63,9 @@ def _asks(queries: DataFrame, mode: str, lists, first: int = 0, text: Column | N
     return queries.where(F.col("mode") == mode).select("query_id", F.inline(rows)).where("phrase is not null")
 
 
-def _terms(asks: DataFrame) -> DataFrame:
-    return asks.select(*_KEY, (F.col("library") * 2 + F.col("field")).alias("space"), "k", F.explode(F.array_distinct(T.tokens(F.col("phrase")))).alias("token"))
+def _terms(asks: DataFrame, factors: DataFrame) -> DataFrame:
+    words = asks.select(*_KEY, "library", F.col("field").alias("space"), "k", F.explode(F.array_distinct(T.tokens(F.col("phrase")))).alias("token"))
+    return words.join(factors, ["library", "space", "token"])
 
 
 def candidates(queries: DataFrame, works: DataFrame, stage: Stage, second: bool = True) -> DataFrame:
@@ -79,13 +80,13 @@ def candidates(queries: DataFrame, works: DataFrame, stage: Stage, second: bool
     every = titles.where("field is not null").unionByName(again)
     for a in asks:
         every = every.unionByName(a)
-    postings = index(works, stage(every.select(F.explode(T.tokens(F.col("phrase"))).alias("token")).distinct()), stage)
-    found = stage(best(_terms(titles.where("field is not null")), postings, _KEY, stage))
+    postings, factors = index(works, stage(every.select(F.explode(T.tokens(F.col("phrase"))).alias("token")).distinct()), stage)
+    found = stage(best(_terms(titles.where("field is not null"), factors), postings, _KEY, stage))
     # Titles that nothing answers to are asked for in the whole text.
     thin = again.join(found.select(*_KEY).distinct(), _KEY, "left_anti")
     for a in asks:
         thin = thin.unionByName(a)
-    more = best(_terms(thin), postings, _KEY, stage).withColumnRenamed("doc", "work_id")
+    more = best(_terms(thin, factors), postings, _KEY, stage).withColumnRenamed("doc", "work_id")
     quoted = titles.where("field is null").select(*_KEY, "k", F.regexp_replace("phrase", '"', "").alias("phrase"))
     held = phrases(quoted.drop("k"), works.where(_bit(F.col("mask"), len(NAMES) - 1)).select(F.col("work_id").alias("doc"), F.col("title").alias("text")), _KEY, stage)
     place = F.row_number().over(Window.partitionBy(*_KEY).orderBy(F.desc("times"), F.asc("size"), F.asc("doc")))

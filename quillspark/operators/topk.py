@@ -12,33 +12,58 @@ from quillspark.sources.staging import Stage
 _GIVE = 1e-6
 
 
+#: Terms that are sent to all tasks: 40 MB at most.
+_SENT = 500_000
+
+
 def best(terms: DataFrame, postings: DataFrame, key: list[str], stage: Stage, probe: int = 500) -> DataFrame:
-    """(key, doc, score, rank) of the k best documents of each question by the sum of their weights.
+    """(key, doc, score, rank) of the k best documents of each question by the sum of factor * weight over
+    the postings that a term names; ties go to the smaller doc.
+
+    terms: key, space, token, library, factor, k. postings: space, token, doc, mask, weight, written; a term reads
+    those whose mask has its library's bit. Up to 500,000 terms go to the postings, which lie by document, so that sums need no exchange
+    and only k rows a question leave a task. More terms go the way of bounds."""
+    terms = stage(terms)
+    n = terms.count()
+    if n > _SENT:
+        return best_by_bounds(terms, postings, key, stage, probe)
+    hits = postings.repartition("doc").join(F.broadcast(terms), ["space", "token"]) if n else postings.join(terms, ["space", "token"])
+    sums = hits.where(F.getbit("mask", F.col("library")) == 1).groupBy(*key, "doc", "k").agg(rounded(F.sum(F.col("factor") * F.col("weight"))).alias("score"))
+    return _ranked(sums, key)
+
+
+def _ranked(scored: DataFrame, key: list[str]) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), F.asc("doc")))
+    return scored.withColumn("rank", place).where(F.col("rank") <= F.col("k")).select(*key, "doc", "score", "rank")
+
 
-    terms: key, space, token, k. postings: space, token, doc, weight, written. Exact, in three steps:
-    the postings of a question's rarest words (about `probe` of them, one word at least) name documents
-    whose full scores the k-th best can't fall below; words whose largest weights together stay below that score are
-    optional, and only documents with another word are candidates; of these, the ones that optional words
-    can't lift over the score go, and the optional weights of the rest are fetched by document."""
+def best_by_bounds(terms: DataFrame, postings: DataFrame, key: list[str], stage: Stage, probe: int = 500) -> DataFrame:
+    """The same where terms are too many to be sent, in three steps: the postings of a question's rarest words
+    (about `probe` of them, one word at least) name documents whose full scores the k-th best can't fall below;
+    words whose largest weights together stay below that score are optional, and only documents with another
+    word are candidates; of these, the ones that optional words can't lift over the score go, and the
+    optional weights of the rest are fetched by document."""
     on = ["space", "token"]
-    bounds = postings.groupBy(*on).agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("most"))
-    known = stage(terms.join(bounds, on))
+    bounds = postings.groupBy(*on).agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("largest"))
+    known = stage(terms.join(bounds, on).withColumn("most", F.col("factor") * F.col("largest")))
     each = Window.partitionBy(*key)
+    own = F.getbit("mask", F.col("library")) == 1
+    weight = F.sum(F.col("factor") * F.col("weight"))
     rare = known.withColumn("seen", F.sum("df").over(each.orderBy("df", "token"))).where((F.col("seen") <= probe) | (F.col("seen") == F.col("df")))
-    early = rare.join(postings, on).groupBy(*key, "doc", "k").agg(F.sum("weight").alias("sum"))
+    early = rare.join(postings, on).where(own).groupBy(*key, "doc", "k").agg(weight.alias("sum"))
     place = F.row_number().over(each.orderBy(F.desc("sum"), F.asc("doc")))
     tried = early.withColumn("place", place).where(F.col("place") <= 4 * F.col("k")).select(*key, "doc", "k")
-    full = tried.join(known.select(*key, *on), key).join(postings, [*on, "doc"]).groupBy(*key, "doc", "k").agg(F.sum("weight").alias("sum"))
+    full = tried.join(known.select(*key, *on, "factor"), key).join(postings, [*on, "doc"]).groupBy(*key, "doc", "k").agg(weight.alias("sum"))
     reached = full.withColumn("place", place).where("place = k").select(*key, F.col("sum").alias("reached"))
     below = F.sum("most").over(each.orderBy("most", "token"))
     ordered = known.join(reached, key, "left").withColumn("below", below).withColumn("optional", F.coalesce(F.col("below") * (1 + 1e-9) < F.col("reached") - _GIVE, F.lit(False)))
     ordered = stage(ordered.withColumn("rest", F.coalesce(F.max(F.when(F.col("optional"), F.col("below"))).over(each), F.lit(0.0))))
-    some = ordered.where("not optional").join(postings, on).groupBy(*key, "doc", "k").agg(F.sum("weight").alias("sure"), F.first("reached").alias("reached"), F.first("rest").alias("rest"))
+    some = ordered.where("not optional").join(postings, on).where(own).groupBy(*key, "doc", "k").agg(weight.alias("sure"), F.first("reached").alias("reached"), F.first("rest").alias("rest"))
     candidates = stage(some.where(F.col("reached").isNull() | (F.col("sure") + F.col("rest") * (1 + 1e-9) >= F.col("reached") - _GIVE)).select(*key, "doc", "k", "sure"))
-    wanted = candidates.select(*key, "doc").join(ordered.where("optional").select(*key, *on), key)
-    more = wanted.join(postings, [*on, "doc"]).groupBy(*key, "doc").agg(F.sum("weight").alias("more"))
+    wanted = candidates.select(*key, "doc").join(ordered.where("optional").select(*key, *on, "factor"), key)
+    more = wanted.join(postings, [*on, "doc"]).groupBy(*key, "doc").agg(weight.alias("more"))
     scored = candidates.join(more, [*key, "doc"], "left").withColumn("score", rounded(F.col("sure") + F.coalesce("more", F.lit(0.0))))
-    return scored.withColumn("rank", F.row_number().over(each.orderBy(F.desc("score"), F.asc("doc")))).where(F.col("rank") <= F.col("k")).select(*key, "doc", "score", "rank")
+    return _ranked(scored, key)
 
 
 def phrases(asked: DataFrame, docs: DataFrame, key: list[str], stage: Stage) -> DataFrame:

@@ -146,7 +146,7 @@ def _merge_cte(queries: str) -> str:
 q AS MATERIALIZED ({queries}),
 hold AS ({libraries}),
 bag AS MATERIALIZED (SELECT doc_id, 0 AS field, {D.tokens(D.first_line('text'))} AS bag FROM documents UNION ALL SELECT doc_id, 1, {D.tokens('text')} FROM documents),
-sz AS (SELECT library, field, count(*) AS n, avg(len(bag)) AS mean FROM hold JOIN bag USING (doc_id) GROUP BY ALL),
+sz AS (SELECT library, field, count(*) AS n, any_value(mean) AS mean FROM hold JOIN bag USING (doc_id) JOIN (SELECT field, avg(len(bag)) AS mean FROM bag GROUP BY field) USING (field) GROUP BY ALL),
 tf AS (SELECT doc_id, field, size, token, count(*) AS times FROM (SELECT doc_id, field, len(bag) AS size, unnest(bag) AS token FROM bag) GROUP BY ALL),
 ps AS (SELECT library, tf.* FROM tf JOIN hold USING (doc_id)),
 df AS (SELECT library, field, token, count(*) AS df FROM ps GROUP BY ALL),

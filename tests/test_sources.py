@@ -40,8 +40,9 @@ def stored(spark):
     return set(Path(shared_dir(spark).removeprefix("file://"), "quillspark-stage").glob("*"))
 
 
-@pytest.mark.parametrize(("probe", "seed"), [(1, 1), (40, 2), (10_000, 3)])
-def test_best_against_all_sums(spark, probe, seed):
+@pytest.mark.parametrize(("probe", "seed", "sent"), [(1, 1, 0), (40, 2, 0), (10_000, 3, 0), (1, 4, 500_000)])
+def test_best_against_all_sums(spark, monkeypatch, probe, seed, sent):
+    monkeypatch.setattr(topk, "_SENT", sent)
     r = random.Random(seed)
     tokens = [f"t{i}" for i in range(30)]
     postings = [(s, t, doc, round(r.random() * 10 / (1 + i), 3)) for s in (0, 3) for i, t in enumerate(tokens) for doc in range(200) if r.random() < (i + 1) / 30]
@@ -49,14 +50,15 @@ def test_best_against_all_sums(spark, probe, seed):
     asked = [(q, "x", s, t, k) for q, s, k in ((1, 0, 5), (2, 3, 3), (3, 0, 1)) for t in r.sample(tokens, 8)] + [(4, "x", 0, "tie", 4), (5, "x", 0, "nowhere", 4)]
     before = stored(spark)
     with Counted(spark) as stage:
-        terms = spark.createDataFrame(asked, "q long, list string, space int, token string, k int")
-        found = topk.best(terms, stage(spark.createDataFrame(postings, "space int, token string, doc long, weight double")), ["q", "list"], stage, probe).collect()
-        candidates = stage.rows["q", "list", "doc", "k", "sure"]
+        terms = spark.createDataFrame(asked, "q long, list string, space int, token string, k int").withColumns({"library": F.lit(1), "factor": F.lit(2.0)})
+        lists = spark.createDataFrame(postings, "space int, token string, doc long, weight double").withColumns({"mask": F.when(F.col("doc") % 9 > 0, 6).otherwise(1), "weight": F.col("weight") / 2})
+        found = topk.best(terms, stage(lists), ["q", "list"], stage, probe).collect()
+        candidates = stage.rows.get(("q", "list", "doc", "k", "sure"), 0)
     assert stored(spark) == before
     sums, wanted = Counter(), []
     for q, _, s, t, k in asked:
         for s2, t2, doc, w in postings:
-            if (s, t) == (s2, t2):
+            if (s, t) == (s2, t2) and doc % 9:
                 sums[q, k, doc] += w
     for q, k in {(q, k) for q, _, _, _, k in asked}:
         best = sorted((-math.floor(v * 1e6 + 0.5) / 1e6, doc) for (a, _, doc), v in sums.items() if a == q)[:k]
