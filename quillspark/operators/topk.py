@@ -24,17 +24,18 @@ def best(terms: DataFrame, postings: DataFrame, key: list[str], stage: Stage, pr
     those whose mask has its library's bit. Up to 500,000 terms go to the postings, which lie by document, so that sums need no exchange
     and only k rows a question leave a task. More terms go the way of bounds."""
     terms = stage(terms)
-    n = terms.count()
+    n, most = terms.agg(F.count(F.lit(1)), F.coalesce(F.max("k"), F.lit(0))).first()
     if n > _SENT:
         return best_by_bounds(terms, postings, key, stage, probe)
     hits = postings.repartition("doc").join(F.broadcast(terms), ["space", "token"]) if n else postings.join(terms, ["space", "token"])
     sums = hits.where(F.getbit("mask", F.col("library")) == 1).groupBy(*key, "doc", "k").agg(rounded(F.sum(F.col("factor") * F.col("weight"))).alias("score"))
-    return _ranked(sums, key)
+    return _ranked(sums, key, most)
 
 
-def _ranked(scored: DataFrame, key: list[str]) -> DataFrame:
+def _ranked(scored: DataFrame, key: list[str], most: int) -> DataFrame:
+    """most, a number that no k exceeds, is what Spark cuts each task's rows to before they are shuffled."""
     place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), F.asc("doc")))
-    return scored.withColumn("rank", place).where(F.col("rank") <= F.col("k")).select(*key, "doc", "score", "rank")
+    return scored.withColumn("rank", place).where(F.col("rank") <= most).where(F.col("rank") <= F.col("k")).select(*key, "doc", "score", "rank")
 
 
 def best_by_bounds(terms: DataFrame, postings: DataFrame, key: list[str], stage: Stage, probe: int = 500) -> DataFrame:
@@ -63,7 +64,7 @@ def best_by_bounds(terms: DataFrame, postings: DataFrame, key: list[str], stage:
     wanted = candidates.select(*key, "doc").join(ordered.where("optional").select(*key, *on, "factor"), key)
     more = wanted.join(postings, [*on, "doc"]).groupBy(*key, "doc").agg(weight.alias("more"))
     scored = candidates.join(more, [*key, "doc"], "left").withColumn("score", rounded(F.col("sure") + F.coalesce("more", F.lit(0.0))))
-    return _ranked(scored, key)
+    return _ranked(scored, key, terms.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0])
 
 
 def phrases(asked: DataFrame, docs: DataFrame, key: list[str], stage: Stage) -> DataFrame:
