@@ -159,6 +159,8 @@ def divergence(docs: DataFrame, least_docs: int = 10, top_terms: int = 10) -> Da
     kept = kept.select("lang", "term", "total", F.floor(F.log2("total")).cast("int").alias("band"))
     sizes = kept.groupBy("lang", "band").agg(F.ceil(F.count(F.lit(1)) / _SHELF).alias("shelves"))
     placed = kept.join(sizes, ["lang", "band"]).withColumn("shelf", F.expr("pmod(xxhash64(term), shelves)")).drop("shelves")
+    # Dealt by shelf, or the numbering would keep the join's partitions: all terms of a language and band in one.
+    placed = placed.repartition("lang", "band", "shelf")
     placed = placed.withColumn("id", F.row_number().over(Window.partitionBy("lang", "band", "shelf").orderBy("term")) - 1)
     kept = materialize(placed, "kept-terms")
 
