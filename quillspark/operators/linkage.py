@@ -37,7 +37,12 @@ def token_f1_pairs(left: DataFrame, right: DataFrame, lkey: str, rkey: str, ltex
 
 def top(table: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
     """The first k rows of each key in a total order, with their rank."""
-    return table.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
+    return top_of(table, [key], k, *order)
+
+
+def top_of(table: DataFrame, key: list[str], k: int, *order: Column) -> DataFrame:
+    """The same for a key of several columns."""
+    return table.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= k)
 
 
 def match_pairs(queries: DataFrame, works: DataFrame) -> DataFrame:
@@ -131,23 +136,34 @@ def evidence(hits: DataFrame, queries: DataFrame, works: DataFrame, most: int =
     asked = queries.select("query_id", F.array_distinct(T.tokens(F.col("phrase"))).alias("asked"))
     titles = works.select("work_id", T.tokens(F.col("title")).alias("bag"))
     rows = hits.join(asked, "query_id").join(titles, "work_id")
-    gap = F.abs(F.col("year_hint") - F.col("year"))
     rows = rows.withColumns(
         {
-            "year_status": F.when(gap == 0, "exact").when(gap <= 2, "near").when(gap > 2, "mismatch").otherwise("none"),
+            "year_status": year_status(F.col("year_hint"), F.col("year")),
             "matched": F.slice(F.array_intersect("asked", "bag"), 1, most),
             "missed": F.when(F.col("mode") == "title", F.slice(F.array_except("asked", "bag"), 1, most_missed)).otherwise(F.array().cast("array<string>")),
         }
     )
-    share = lambda name, c: F.concat(F.lit(f"{name} "), F.floor(F.col(c) * 100 + 0.5).cast("string"), F.lit("%"))
+    return rows.withColumn("reasons", reasons(*[F.col(c) for c in ("mode", "title_score", "coverage", "abstract_score", "year_status", "doi_hit")])).drop("asked", "bag")
+
+
+def year_status(hint: Column, year: Column) -> Column:
+    """exact, near (two years apart at most), mismatch, or none where a year isn't known."""
+    gap = F.abs(hint - year)
+    return F.when(gap == 0, "exact").when(gap <= 2, "near").when(gap > 2, "mismatch").otherwise("none")
+
+
+def reasons(mode: Column, title: Column, coverage: Column, abstract: Column, year: Column, doi_hit: Column, pmid_hit: Column | None = None, n_said: Column | None = None) -> Column:
+    """What speaks for a hit, as it is shown: identifiers, shares, the year's status and how many sentences it was found
+    by; a text of its own where nothing else does."""
+    share = lambda name, c: F.concat(F.lit(f"{name} "), F.floor(c * 100 + 0.5).cast("string"), F.lit("%"))
     #: Fixed values.
-    reasons = F.array_compact(
-        F.array(
-            F.when(F.col("doi_hit"), "DOI 直达"),
-            F.when(F.col("title_score") >= 0.45, share("标题", "title_score")),
-            F.when((F.col("mode") == "body") & (F.col("coverage") >= 0.35), share("标题词覆盖", "coverage")),
-            F.when(F.col("abstract_score") >= 0.2, share("摘要重叠", "abstract_score")),
-            F.when(F.col("year_status") == "exact", "年份一致").when(F.col("year_status") == "near", "年份接近").when(F.col("year_status") == "mismatch", "年份不符"),
-        )
-    )
-    return rows.withColumn("reasons", F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("弱词重叠")))).drop("asked", "bag")
+    shown = [
+        F.when(doi_hit, "DOI 直达"),
+        *([] if pmid_hit is None else [F.when(pmid_hit, "PMID 一致")]),
+        F.when(title >= 0.45, share("标题", title)),
+        F.when((mode == "body") & (coverage >= 0.35), share("标题词覆盖", coverage)),
+        F.when(abstract >= 0.2, share("摘要重叠", abstract)),
+        F.when(year == "exact", "年份一致").when(year == "near", "年份接近").when(year == "mismatch", "年份不符"),
+        *([] if n_said is None else [F.when(n_said > 0, F.concat(F.lit("命中 "), n_said.cast("string"), F.lit(" 句")))]),
+    ]
+    return T.let(F.array_compact(F.array(*shown)), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("弱词重叠"))))
