@@ -12,7 +12,7 @@ QUERIES = {
     "op5_mixing": mixing.plan,
     "op6_html": html_text.main_texts,
     "op7_quality": quality.classify,
-    "op8_warc": lambda spark, sf_dir: warc.round_trip(spark, sf_dir).drop("digest_ok"),
+    "op8_warc": warc.round_trip,
     "op9_ngram_join": ngram_join.components_of_documents,
     "op10_secrets": secrets.find,
     "op11_negatives": negatives.hard_negatives,
@@ -36,6 +36,6 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, ''))
 f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first THEN first END AS refers_to
+       CASE WHEN page_id <> first THEN first END AS refers_to, true AS digest_ok
 FROM f""",
 }

@@ -226,11 +226,18 @@ def page_number(column: str):
     return F.nullif(F.regexp_extract(column, "^<urn:page:(-?[0-9]*)>$", 1), F.lit("")).cast("long")
 
 
+def whole(records: DataFrame) -> DataFrame:
+    """The records; a job that meets one that couldn't be read fails and names its place."""
+    where = F.concat(F.lit("unreadable record in "), "path", F.lit(" at "), F.col("offset").cast("string"), F.lit(": "), "error")
+    return records.withColumn("record_type", F.when(F.col("record_type") == "error", F.raise_error(where).cast("string")).otherwise(F.col("record_type")))
+
+
 def round_trip(spark, sf_dir: str) -> DataFrame:
-    """Query op8_warc: archives of all pages, written to the shared folder and read back."""
+    """Query op8_warc: archives of all pages, written to the shared folder and read back; digest_ok tells whether the
+    digests of a record hold."""
     folder = f"{shared_dir(spark)}/quillspark/warc-{uuid.uuid4().hex}"
     written = materialize(write_archives(table(spark, sf_dir, "pages"), folder), "warc-index")
-    return read_archives(written).select(
+    return whole(read_archives(written)).select(
         page_number("record_id").alias("page_id"),
         "payload_bytes",
         "payload_digest",

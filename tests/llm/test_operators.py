@@ -491,6 +491,13 @@ def test_warc_round_trip(spark, tmp_path):
     broken.write_bytes(open(path, "rb").read()[:-9])
     last = warc.read_archives(spark.createDataFrame([(f"file://{broken}",)], "path string")).orderBy("offset").collect()[-1]
     assert last["record_type"] == "error" and last["error"]
+    with pytest.raises(Exception, match="unreadable record in .*broken.warc.gz at"):
+        warc.whole(warc.read_archives(spark.createDataFrame([(f"file://{broken}",)], "path string"))).collect()
+    first = gzip.open(path).read().split(b"\r\n\r\nWARC/1.1")[0].removesuffix(b"\r\n\r\n") + b"\r\n\r\n"
+    other = tmp_path / "other.warc.gz"
+    other.write_bytes(gzip.compress(first.replace(b"HTTP/1.1 200", b"HTTP/1.1 201")))
+    seen = warc.read_archives(spark.createDataFrame([(f"file://{other}",)], "path string")).collect()
+    assert [(x["record_type"] != "error", x["digest_ok"]) for x in seen] == [(True, False)]
     assert warc.read_archives(warc.write_archives(table.limit(0), f"file://{tmp_path}/none")).count() == 0
 
 
