@@ -9,10 +9,17 @@ from quillspark.functions import similarity as sim
 from quillspark.functions import text as T
 
 
-def postings(table: DataFrame, key: str, text: str, least: int = 2) -> DataFrame:
-    """(key, token, times, size): each distinct token of a text, its count, and the text's token count."""
+def postings(table: DataFrame, key: str, text: str, least: int = 2, asked: DataFrame | None = None) -> DataFrame:
+    """(key, token, times, size): each distinct token of a text, its count, and the text's token count. With asked,
+    which has a column token, only tokens it has; others are dropped before they are counted."""
     bags = table.select(F.col(key), T.tokens(F.col(text), least).alias("bag")).withColumn("size", F.size("bag"))
-    return bags.select(key, "size", F.explode("bag").alias("token")).groupBy(key, "size", "token").agg(F.count(F.lit(1)).alias("times"))
+    words = only_asked(bags.select(key, "size", F.explode("bag").alias("token")), asked)
+    return words.groupBy(key, "size", "token").agg(F.count(F.lit(1)).alias("times"))
+
+
+def only_asked(words: DataFrame, asked: DataFrame | None) -> DataFrame:
+    """Rows of words whose token asked has: with few enough tokens to broadcast, other words aren't shuffled."""
+    return words if asked is None else words.join(asked.select("token").distinct(), "token", "left_semi")
 
 
 def overlap(left: DataFrame, right: DataFrame, lkey: str, rkey: str) -> DataFrame:
@@ -31,7 +38,8 @@ def overlap_of(pairs: DataFrame, left: DataFrame, right: DataFrame, lkey: str, r
 
 
 def token_f1_pairs(left: DataFrame, right: DataFrame, lkey: str, rkey: str, ltext: str, rtext: str) -> DataFrame:
-    pairs = overlap(postings(left, lkey, ltext), postings(right, rkey, rtext), lkey, rkey)
+    l = postings(left, lkey, ltext)
+    pairs = overlap(l, postings(right, rkey, rtext, asked=l), lkey, rkey)
     return pairs.select(lkey, rkey, sim.harmonic(F.col("precision"), F.col("recall")).alias("f1"))
 
 
@@ -50,10 +58,16 @@ def match_pairs(queries: DataFrame, works: DataFrame) -> DataFrame:
 
     queries: query_id, phrase, mode. works: work_id, title, abstract. Returns query_id, work_id,
     title_score, abstract_score, coverage."""
-    q = postings(queries, "query_id", "phrase")
-    title = overlap(q, postings(works, "work_id", "title"), "query_id", "work_id").withColumnsRenamed({"precision": "tp", "recall": "tr"})
-    body = overlap(q, postings(works, "work_id", "abstract"), "query_id", "work_id").withColumnsRenamed({"precision": "ap", "recall": "ar"})
-    pairs = title.join(body, ["query_id", "work_id"], "full_outer").fillna(0.0)
+    q = postings(queries, "query_id", "phrase").withColumnsRenamed({"times": "asked", "size": "length"})
+    # One row a word, marked where the title has it; both fields are counted and joined at once.
+    word = lambda at: lambda w: F.struct(w.alias("token"), F.lit(at).alias("of_title"))
+    bags = works.select("work_id", T.tokens(F.col("title")).alias("t"), T.tokens(F.col("abstract")).alias("a"))
+    words = bags.select("work_id", F.size("t").alias("nt"), F.size("a").alias("na"), F.inline(F.concat(F.transform("t", word(1)), F.transform("a", word(0)))))
+    w = only_asked(words, q).groupBy("work_id", "nt", "na", "token").agg(F.sum("of_title").alias("t"), F.sum(1 - F.col("of_title")).alias("a"))
+    asked_in = lambda c: F.sum(F.when(F.col(c) > 0, F.col("asked")).otherwise(0))
+    sums = q.join(w, "token").groupBy("query_id", "work_id", "length", "nt", "na").agg(asked_in("t").alias("qt"), asked_in("a").alias("qa"), F.sum("t").alias("t"), F.sum("a").alias("a"))
+    share = lambda part, whole: F.when(F.col(part) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
+    pairs = sums.select("query_id", "work_id", share("qt", "length").alias("tp"), share("t", "nt").alias("tr"), share("qa", "length").alias("ap"), share("a", "na").alias("ar"))
     # Wide columns join last, to the pairs only.
     named = works.select("work_id", T.normalize(F.col("title")).alias("nt"))
     asked = queries.select("query_id", "mode", T.normalize(F.col("phrase")).alias("nq"))
@@ -108,8 +122,8 @@ def ranked_matches(queries: DataFrame, works: DataFrame, k: int = 8) -> DataFram
     pairs = match_pairs(queries, works).join(known, "work_id").join(queries.select("query_id", "year_hint", *(["dois"] if by_doi else [])), "query_id")
     pairs = pairs.withColumn("doi_hit", F.coalesce(F.array_contains("dois", F.lower("doi")), F.lit(False)) if by_doi else F.lit(False)).drop("dois", "doi")
     score = match_score(*[F.col(c) for c in ("mode", "title_score", "abstract_score", "coverage", "year_hint", "year", "n_sources", "doi_hit", "cited")])
-    # Nine decimals, so that the order of a float sum can't decide a rank.
-    scored = pairs.withColumn("score", T.rounded(score, 9)).where(F.col("score") >= threshold(F.col("mode")))
+    # The threshold is on the score itself; nine decimals after it, so that the order of a float sum can't decide a rank.
+    scored = pairs.withColumn("score", score).where(F.col("score") >= threshold(F.col("mode"))).withColumn("score", T.rounded(F.col("score"), 9))
     return top(scored, "query_id", k, F.desc("score"), F.desc("cited"), F.asc("work_id"))
 
 

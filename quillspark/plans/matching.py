@@ -39,7 +39,8 @@ def title_similarity(strict: bool):
         """Each benchmark item's first line against the titles it shares a token with."""
         a = S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.first_line(F.col("text")).alias("phrase"))
         b = S.works(spark, d).select("work_id", "title")
-        pairs = L.overlap(L.postings(a, "query_id", "phrase"), L.postings(b, "work_id", "title"), "query_id", "work_id")
+        asked = L.postings(a, "query_id", "phrase")
+        pairs = L.overlap(asked, L.postings(b, "work_id", "title", asked=asked), "query_id", "work_id")
         joined = pairs.join(a, "query_id").join(b, "work_id")
         ta, tb = T.tokens(F.col("phrase")), T.tokens(F.col("title"))
         lost = F.exists(F.slice(tb, 1, 2), lambda w: ~F.array_contains(ta, w)) if strict else None
@@ -60,7 +61,8 @@ SELECT query_id, work_id, {D.rounded(D.similarity("na", "nb", "f1", strict, "los
 
 def title_coverage(spark, d):
     """Share of a work's title tokens in each benchmark item, where it isn't 0."""
-    pairs = L.overlap(L.postings(S.benchmark_queries(spark, d), "query_id", "phrase"), L.postings(S.works(spark, d), "work_id", "title"), "query_id", "work_id")
+    asked = L.postings(S.benchmark_queries(spark, d), "query_id", "phrase")
+    pairs = L.overlap(asked, L.postings(S.works(spark, d), "work_id", "title", asked=asked), "query_id", "work_id")
     return pairs.select("query_id", "work_id", T.rounded(F.col("recall")).alias("coverage"))
 
 
@@ -95,8 +97,9 @@ s1 AS (SELECT * EXCLUDE s, CASE WHEN title_score >= 0.97 THEN greatest(s, 0.98)
 s2 AS (SELECT * EXCLUDE s, CASE WHEN mode = 'body' AND abstract_score >= 0.3 THEN greatest(s, abstract_score * 0.85 + coverage * 0.2) ELSE s END AS s FROM s1),
 s3 AS (SELECT * EXCLUDE s, CASE WHEN mode = 'body' AND coverage >= 0.7 THEN greatest(s, coverage * 0.82) ELSE s END AS s FROM s2),
 s4 AS (SELECT * EXCLUDE s, CASE WHEN year_hint = year THEN least(1.0, s + 0.03) WHEN abs(year_hint - year) > 2 THEN s * 0.85 ELSE s END AS s FROM s3),
-s5 AS (SELECT * EXCLUDE s, {D.rounded("least(1.0, CASE WHEN doi_hit THEN greatest(s, 0.99) ELSE s END + least(0.02, log10(cited + 1) / 200))", 9)} AS score FROM s4),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cited DESC, work_id) AS rank FROM s5 WHERE score >= CASE WHEN mode = 'title' THEN 0.42 ELSE 0.22 END)"""
+s5 AS (SELECT * EXCLUDE s, least(1.0, CASE WHEN doi_hit THEN greatest(s, 0.99) ELSE s END + least(0.02, log10(cited + 1) / 200)) AS exact FROM s4),
+s6 AS (SELECT * EXCLUDE exact, {D.rounded("exact", 9)} AS score FROM s5 WHERE exact >= CASE WHEN mode = 'title' THEN 0.42 ELSE 0.22 END),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cited DESC, work_id) AS rank FROM s6)"""
 
 
 _LABEL = "CASE WHEN score >= 0.88 THEN '高度匹配' WHEN score >= 0.68 THEN '较可能' WHEN score >= 0.45 THEN '相关候选' ELSE '弱相关' END"
