@@ -176,3 +176,104 @@ def index_title(title: Column) -> Column:
 def family_first(names: Column) -> Column:
     """Display names as "Family Given", joined; null if there is none."""
     return F.nullif(F.array_join(F.transform(_filled(names), lambda n: T.let(author_of(n), lambda a: F.concat_ws(" ", a["family"], a["given"]))), ", "), F.lit(""))
+
+
+def search_year(day: Column) -> Column:
+    """Year of a date as the medical index prints it: its first four characters, if they are a number other than 0."""
+    return F.nullif(F.substring(day, 1, 4).try_cast("int"), F.lit(0))
+
+
+def index_row(title: Column, day: Column, authors: Column, doi: Column, pmid: Column, abstract: Column) -> dict[str, Column]:
+    """Columns of a medical index row as a paper is listed. The index counts no citations and states no open access."""
+    return {
+        "title": title,
+        "year": search_year(day),
+        "cited": F.lit(0).cast("long"),
+        "authors": or_else(authors, "—"),
+        "doi": F.nullif(doi, F.lit("")),
+        "is_open": F.lit(False),
+        "tags": L.evidence_tags(F.concat_ws(" ", title, abstract)),
+        "url": F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/")),
+    }
+
+
+def pmid_digits(link: Column) -> Column:
+    """The digits of a PMID that may be given as a link; null if there are none."""
+    return F.nullif(F.regexp_replace(F.regexp_replace(link, r"(?i)^https?://pubmed\.ncbi\.nlm\.nih\.gov/", ""), r"[^0-9]", ""), F.lit(""))
+
+
+def doi_link(doi: Column) -> Column:
+    """Link of a DOI that may be given as one; null for none."""
+    bare = T.strip(F.regexp_replace(doi, r"(?i)^https?://doi\.org/", ""))
+    return F.concat(F.lit("https://doi.org/"), F.nullif(bare, F.lit("")))
+
+
+def record_link(doi: Column, landing: Column) -> Column:
+    """Where a record is shown: by its DOI, else its landing page."""
+    return F.coalesce(F.concat(F.lit("https://doi.org/"), F.nullif(doi, F.lit(""))), F.nullif(landing, F.lit("")))
+
+
+def first_named(authors: Column) -> Column:
+    """The first author of a list with commas; null if nothing stands before the first one."""
+    return F.nullif(T.strip(F.get(F.split(authors, ","), F.lit(0))), F.lit(""))
+
+
+def named_authors(authors: Column) -> Column:
+    """Author structs (family, given, name) with empty fields as null, without those that have none."""
+    filled = F.transform(F.coalesce(authors, F.array().cast("array<struct<family:string,given:string,name:string>>")), lambda a: F.struct(*[F.nullif(a[c], F.lit("")).alias(c) for c in ("family", "given", "name")]))
+    return F.filter(filled, lambda a: F.coalesce(a["family"], a["given"], a["name"]).isNotNull())
+
+
+def component(x: Column) -> Column:
+    """x as a part of a URL, a space as %20; letters, digits and -_.~!*'() stay."""
+    out = F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
+    for code, char in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
+def registry_links(term: Column) -> dict[str, Column]:
+    """Searches for a term in two trial registries. Their paths."""
+    x = component(T.strip(term))
+    return {"chictr": F.concat(F.lit("https://www.chictr.org.cn/searchproj.html?title="), x), "ictrp": F.concat(F.lit("https://trialsearch.who.int/?Term="), x)}
+
+
+def paper_links(doi: Column, pmid: Column, title: Column, venue: Column, page: Column, pdf: Column) -> Column:
+    """Array of struct(key, href): the PDF, the page a paper opens at (its own, by DOI, or by PMID) unless that is the
+    PDF, and the other searches that its identifiers, title and venue start."""
+    has = lambda x: F.nullif(x, F.lit(""))
+    number = F.nullif(F.regexp_replace(pmid, "[^0-9]", ""), F.lit(""))
+    opened = F.coalesce(has(page), doi_link(doi), F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), number, F.lit("/")))
+    start, journal, name = has(seed(doi, pmid, title)), has(T.strip(F.coalesce(venue, F.lit("")))), has(T.strip(F.coalesce(title, F.lit(""))))
+    tool = lambda key, path, x: (key, F.concat(F.lit(path), component(x)))
+    # Keys and paths of the searches, in the order they are listed.
+    links = [
+        ("pdf", has(pdf)),
+        ("open", F.when(has(pdf).isNull() | (opened != pdf), opened)),
+        tool("map", "/map?q=", start),
+        tool("trials", "/trials?q=", start),
+        tool("datasets", "/datasets?q=", has(T.strip(F.coalesce(has(title), journal, start)))),
+        tool("journals", "/journals?q=", journal),
+        tool("papers", "/papers?q=", start),
+        tool("match", "/match?q=", F.substring(name, 1, 200)),
+        tool("citations", "/citations?seed=", F.coalesce(has(doi), has(title))),
+    ]
+    return F.filter(F.array(*[F.struct(F.lit(k).alias("key"), href.alias("href")) for k, href in links]), lambda x: x["href"].isNotNull())
+
+
+def adverse_event(drugs: Column, reactions: Column, query: Column, report: Column) -> dict[str, Column]:
+    """Columns of an adverse event report as a dataset hit: up to three drugs and four reactions."""
+    named = drug_line(drugs, query)
+    effects = F.array_join(F.slice(_filled(reactions), 1, 4), ", ")
+    # What is shown.
+    return {
+        "title": F.when(named != "", F.concat(F.lit("openFDA AE · "), named)).otherwise(F.concat(F.lit("openFDA safety report "), report)),
+        "description": F.when(effects != "", F.concat(F.lit("Reactions: "), effects, F.lit("（打开为 openFDA JSON 记录）"))).otherwise("Drug adverse event report metadata（打开为 openFDA JSON 记录）"),
+        "url": F.concat(F.lit("https://api.fda.gov/drug/event.json?search=safetyreportid:"), component(report)),
+    }
+
+
+def holds_word(query: Column, *fields: Column) -> Column:
+    """Whether any word of the query is a part of the fields' joined text, without case. False for a query without words."""
+    text = F.lower(F.concat_ws(" ", *fields))
+    return F.exists(F.filter(F.split(F.lower(query), f"{T.SPACE}+"), lambda w: w != ""), lambda w: F.contains(text, w))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import direct, federated, linking, lookups, matching, outputs, records, verification
+from quillspark.plans import direct, federated, linking, lookups, matching, outputs, records, shown, verification
 
-_PARTS = (matching, records, verification, outputs, lookups, federated, linking, direct)
+_PARTS = (matching, records, verification, outputs, lookups, federated, linking, direct, shown)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _part in _PARTS:
