@@ -2,8 +2,9 @@
 
 Two states, plain and toxic. A word's emission is the sum of learned weights of its hashed features
 (the word, without case and outer punctuation, its prefixes of three to six bytes and its suffixes
-of three and four), learned by gradient ascent on the conditional likelihood; the transitions stay at
-the smoothed frequencies of the labels of neighbouring words. Forward-backward gives each word's marginal
+of three and four); a transition's is the weight of its two labels. Both are learned by gradient ascent on
+the conditional likelihood, transitions from the smoothed frequencies of neighbouring labels. The state
+before the first word is unknown, either with equal weight. Forward-backward gives each word's marginal
 probability of being toxic. A document's score is the logistic of a line, fitted to the labels, of two
 figures of its marginals: the log odds that at least one word is toxic, and the log of the share of
 words expected to be. Runs of words with a marginal of at least a half are its offending spans.
@@ -71,7 +72,12 @@ def features(words: W.Words) -> np.ndarray:
 
 
 def marginals(emission: np.ndarray, offsets: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """P(word is toxic | document) by forward-backward. Documents are cut into blocks of _STEP words;
+    """P(word is toxic | document) by forward-backward."""
+    return expectations(emission, offsets, transition, pairs=False)[0]
+
+
+def expectations(emission: np.ndarray, offsets: np.ndarray, transition: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The marginals and, if asked for, the expected number of each transition, the one into a first word included. Documents are cut into blocks of _STEP words;
     all blocks advance together, first as transfer matrices, which chain the blocks of a document,
     then with the messages that enter them."""
     counts = np.diff(offsets)
@@ -79,7 +85,7 @@ def marginals(emission: np.ndarray, offsets: np.ndarray, transition: np.ndarray)
     block_at = np.concatenate([[0], np.cumsum(blocks)])
     total = int(block_at[-1])
     if total == 0:
-        return np.zeros(0)
+        return np.zeros(0), np.zeros((2, 2))
     t = np.exp(transition)
     word = np.arange(offsets[-1]) - np.repeat(offsets[:-1], counts)
     slot = (np.repeat(block_at[:-1], counts) + word // _STEP) * _STEP + word % _STEP
@@ -119,16 +125,28 @@ def marginals(emission: np.ndarray, offsets: np.ndarray, transition: np.ndarray)
         z = x + y
         x, y = x / z, y / z
         forward[k] = y
-    result = np.empty((_STEP, total))
+    result, expected = np.empty((_STEP, total)), np.zeros((2, 2))
     x, y = out[:, 0].copy(), out[:, 1].copy()
     for k in range(_STEP - 1, -1, -1):
         f = forward[k]
         result[k] = f * y / (f * y + (1 - f) * x)
         p, q, r, s = matrix(k)
+        if pairs:
+            before = forward[k - 1] if k else into[:, 1]
+            joint = np.array([(1 - before) * p * x, (1 - before) * q * y, before * r * x, before * s * y])
+            expected += (joint / joint.sum(axis=0))[:, live[k]].sum(axis=1).reshape(2, 2)
         x, y = p * x + q * y, r * x + s * y
         z = x + y
         x, y = x / z, y / z
-    return result.T.reshape(-1)[slot]
+    return result.T.reshape(-1)[slot], expected
+
+
+def observed(truth: np.ndarray, first: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """Number of each transition under the labels; one into a first word is shared by the states before it."""
+    before = np.roll(truth, 1)
+    counts = np.array([[np.sum((before == i) & (truth == j) & ~first) for j in (False, True)] for i in (False, True)], float)
+    t = np.exp(transition)
+    return counts + t / t.sum(axis=0) * [np.sum(first & ~truth), np.sum(first & truth)]
 
 
 def evidence(marginal: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -227,19 +245,21 @@ def fit(index: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, epochs: int =
         y = truth.astype(float)
         first = np.zeros(len(y), bool)
         first[offsets[:-1][np.diff(offsets) > 0]] = True
-        before = np.roll(truth, 1)
-        pairs = np.array([[np.sum((before == i) & (truth == j) & ~first) for j in (False, True)] for i in (False, True)], float) + [[1, 0.5], [0.5, 0.5]]
-        transition = np.log(pairs / pairs.sum(axis=1, keepdims=True))
-        sums, bias_sum = np.full(_SIZE, 1e-8), 1e-8
+        pairs = observed(truth, first & False, transition) + [[1, 0.5], [0.5, 0.5]]
+        transition = prior = np.log(pairs / pairs.sum(axis=1, keepdims=True))
+        sums, bias_sum, pair_sums = np.full(_SIZE, 1e-8), 1e-8, np.full((2, 2), 1e-8)
         bias = 0.0
         for _ in range(epochs):
-            p = marginals(weights[index].sum(axis=1) + bias, offsets, transition)
+            p, expected = expectations(weights[index].sum(axis=1) + bias, offsets, transition)
             g = sum(np.bincount(index[:, k], y - p, minlength=_SIZE) for k in range(index.shape[1])) - decay * weights
             sums += g * g
             weights += rate * g / np.sqrt(sums)
             total = float((y - p).sum())
             bias_sum += total * total
             bias += rate * total / np.sqrt(bias_sum)
+            turn = observed(truth, first, transition) - expected - decay * (transition - prior)
+            pair_sums += turn * turn
+            transition = transition + rate * turn / np.sqrt(pair_sums)
     model = {"weights": weights, "transition": transition, "bias": np.array([bias])}
     line = np.array([-2.0, 0.25, 0.0])
     if toxic.any() and not toxic.all():

@@ -2,6 +2,7 @@
 nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import string
@@ -338,6 +339,59 @@ def labelled(seed, n=700):
     return docs, labels
 
 
+def test_toxicity_gradient_is_that_of_the_likelihood():
+    """Emissions and transitions against finite differences of the likelihood, summed over all labellings."""
+    r = np.random.default_rng(3)
+    offsets = np.array([0, 3, 3, 4, 9])
+    emission, transition, truth = r.normal(size=9), r.normal(size=(2, 2)), r.random(9) < 0.4
+    first = np.isin(np.arange(9), [0, 3, 4])
+
+    def log_weight(e, t, labels, at):
+        total = np.log(np.exp(t[:, int(labels[0])]).sum() / 2) + e[at] * labels[0]
+        return total + sum(t[int(a), int(b)] + e[at + 1 + i] * b for i, (a, b) in enumerate(zip(labels, labels[1:], strict=False)))
+
+    def likelihood(e, t):
+        out = 0.0
+        for a, b in zip(offsets, offsets[1:], strict=False):
+            if a < b:
+                every = [log_weight(e, t, labels, a) for labels in itertools.product((0, 1), repeat=int(b - a))]
+                out += log_weight(e, t, truth[a:b].astype(int), a) - np.log(np.exp(every).sum())
+        return out
+
+    p, expected = toxicity.expectations(emission, offsets, transition)
+    assert np.isclose(expected.sum(), 9)
+    turn, step = toxicity.observed(truth, first, transition) - expected, 1e-5
+    for i in range(2):
+        for j in range(2):
+            move = np.zeros((2, 2))
+            move[i, j] = step
+            assert np.isclose((likelihood(emission, transition + move) - likelihood(emission, transition - move)) / (2 * step), turn[i, j], atol=1e-6)
+    for k in range(9):
+        move = np.eye(9)[k] * step
+        assert np.isclose((likelihood(emission + move, transition) - likelihood(emission - move, transition)) / (2 * step), truth[k] - p[k], atol=1e-6)
+
+
+def test_toxicity_expected_transitions_of_long_documents():
+    """Over several blocks of words, by a plain recursion."""
+    r = np.random.default_rng(4)
+    n = 3 * toxicity._STEP + 5
+    emission, transition = r.normal(size=n), r.normal(size=(2, 2))
+    t, e = np.exp(transition), np.exp(np.stack([np.zeros(n), emission], axis=1))
+    forward, backward = np.empty((n + 1, 2)), np.ones((n + 1, 2))
+    forward[0] = 0.5
+    for k in range(n):
+        forward[k + 1] = (forward[k] @ t) * e[k]
+        forward[k + 1] /= forward[k + 1].sum()
+    for k in range(n - 1, -1, -1):
+        backward[k] = t @ (e[k] * backward[k + 1])
+        backward[k] /= backward[k].sum()
+    wanted = np.zeros((2, 2))
+    for k in range(n):
+        joint = forward[k][:, None] * t * (e[k] * backward[k + 1])
+        wanted += joint / joint.sum()
+    assert np.allclose(toxicity.expectations(emission, np.array([0, n]), transition)[1], wanted)
+
+
 def test_toxicity_held_out_accuracy_and_spans(spark, empty):
     rows, truth = labelled(1)
     extra = [(10_000, None), (10_001, ""), (10_002, "fine words here. a Scumbag, scumbags! é vileness end"), (5, rows[5][1])]
