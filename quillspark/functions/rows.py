@@ -197,6 +197,11 @@ def index_row(title: Column, day: Column, authors: Column, doi: Column, pmid: Co
     }
 
 
+def year_bucket(year: Column) -> Column:
+    """Span of years that colours a work; unknown for none or 0. Fixed values."""
+    return F.when(F.coalesce(year, F.lit(0)) == 0, "unknown").when(year >= 2022, "2022").when(year >= 2018, "2018").when(year >= 2012, "2012").otherwise("older")
+
+
 def pmid_digits(link: Column) -> Column:
     """The digits of a PMID that may be given as a link; null if there are none."""
     return F.nullif(F.regexp_replace(F.regexp_replace(link, r"(?i)^https?://pubmed\.ncbi\.nlm\.nih\.gov/", ""), r"[^0-9]", ""), F.lit(""))

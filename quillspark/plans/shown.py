@@ -22,14 +22,15 @@ def index_rows(spark, d):
     docs = S.table(spark, d, "documents").select("doc_id", T.first_line(F.col("text")).alias("title"), "text", *[F.expr(e.format(s="string")).alias(n) for n, e in (("day", _DAY), ("pmid", _PMID), ("doi", _DOI), ("landing", _LANDING), ("list", _LIST))])
     c = {n: F.col(n) for n in docs.columns}
     row = R.index_row(c["title"], c["day"], c["list"], c["doi"], c["doc_id"].cast("string"), c["text"])
-    return docs.select("doc_id", *[row[n].alias(n) for n in ("year", "cited", "authors", "doi", "is_open", "url")], F.array_join(row["tags"], ",").alias("tags"), R.pmid_digits(c["pmid"]).alias("pmid"), R.record_link(c["doi"], c["landing"]).alias("link"), R.first_named(c["list"]).alias("first_author"))
+    return docs.select("doc_id", *[row[n].alias(n) for n in ("year", "cited", "authors", "doi", "is_open", "url")], F.array_join(row["tags"], ",").alias("tags"), R.pmid_digits(c["pmid"]).alias("pmid"), R.record_link(c["doi"], c["landing"]).alias("link"), R.first_named(c["list"]).alias("first_author"), R.year_bucket(row["year"]).alias("bucket"))
 
 
 _INDEX_ROWS_SQL = f"""WITH x AS (SELECT doc_id, text, {D.first_line("text")} AS title, {_DAY.format(s="varchar")} AS day, {_PMID.format(s="varchar")} AS pmid, {_DOI.format(s="varchar")} AS doi, {_LANDING.format(s="varchar")} AS landing, {_LIST.format(s="varchar")} AS names FROM documents),
 t AS (SELECT *, lower(title || ' ' || text) AS b FROM x)
 SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN CAST(1990 + doc_id % 30 AS INTEGER) WHEN 4 THEN 2011 END AS year, CAST(0 AS BIGINT) AS cited, coalesce(names, '—') AS authors, nullif(doi, '') AS doi, false AS is_open, 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' AS url,
     array_to_string(list_filter([{outputs._TAGS}], lambda x: x IS NOT NULL)[:4], ',') AS tags, CASE WHEN doc_id % 4 < 2 THEN CAST(10000000 + doc_id AS VARCHAR) END AS pmid,
-    CASE WHEN doc_id % 5 > 1 THEN 'https://doi.org/' || doi WHEN doc_id % 3 = 1 THEN landing END AS link, CASE doc_id % 4 WHEN 0 THEN 'Lovelace A' WHEN 2 THEN 'Hopper G' END AS first_author FROM t"""
+    CASE WHEN doc_id % 5 > 1 THEN 'https://doi.org/' || doi WHEN doc_id % 3 = 1 THEN landing END AS link, CASE doc_id % 4 WHEN 0 THEN 'Lovelace A' WHEN 2 THEN 'Hopper G' END AS first_author,
+    CASE WHEN doc_id % 6 = 4 OR (doc_id % 6 = 0 AND doc_id % 30 < 22) THEN 'older' WHEN doc_id % 6 = 0 AND doc_id % 30 < 28 THEN '2012' WHEN doc_id % 6 = 0 THEN '2018' ELSE 'unknown' END AS bucket FROM t"""
 
 _AUTHORS = "transform(sequence(1, cast(c_custkey % 4 as int) + 1), i -> named_struct('family', case when (c_custkey + i) % 3 > 0 then c_name else '' end, 'given', case when (c_custkey + i) % 4 = 0 then c_mktsegment end, 'name', case when (c_custkey + i) % 6 = 0 then '' when (c_custkey + i) % 5 = 0 then 'Group' end))"
 

@@ -19,6 +19,10 @@ def test_year_of_the_index(spark, day, year):
     assert _one(spark, day, R.search_year) == year
 
 
+def test_year_buckets(spark):
+    assert [_one(spark, y, R.year_bucket, "int") for y in (2022, 2021, 2018, 2012, 1999, 0, None)] == ["2022", "2018", "2018", "2012", "older", "unknown", "unknown"]
+
+
 @pytest.mark.parametrize("given, wanted", [("https://pubmed.ncbi.nlm.nih.gov/123/", "123"), ("PMID: 45", "45"), ("none", None), ("", None), (None, None)])
 def test_digits_of_a_pmid(spark, given, wanted):
     assert _one(spark, given, R.pmid_digits) == wanted
