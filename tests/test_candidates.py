@@ -50,3 +50,12 @@ def test_titles_that_share_frequent_words_only_do_not_meet(spark):
     l, r = L.leading(left, "ref_id"), L.leading(right, "work_key")
     assert l.join(r, "token").count() <= 10 * n
     assert sorted(map(tuple, L.likely_pairs(l, r, "ref_id", "work_key").collect())) == [(i, i) for i in range(n)]
+
+
+def test_references_read_the_documents_once_and_figures_are_computed_once(spark):
+    from quillspark.plans import verification
+
+    files = verification.verify_status(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("documents" in f for f in files)
+    twice = L.computed(spark.range(4), half=F.sqrt(F.col("id") + 1)).where("half > 1")
+    assert twice._jdf.queryExecution().optimizedPlan().toString().upper().count("SQRT") == 1
