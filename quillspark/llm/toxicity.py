@@ -40,6 +40,7 @@ _SIZE = 1 << BITS
 _PREFIXES = (3, 4, 5, 6)
 _SUFFIXES = (3, 4)
 _STEP = 64
+_SLICE = 100_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1), *range(128, 256)]] = True
 
@@ -141,6 +142,14 @@ def expectations(emission: np.ndarray, offsets: np.ndarray, transition: np.ndarr
     return result.T.reshape(-1)[slot], expected
 
 
+def emissions(weights: np.ndarray, bias: float, index: np.ndarray) -> np.ndarray:
+    """bias and the sum of each word's weights, added up one column after the other: all at once they take seven times the memory."""
+    total = np.zeros(len(index))
+    for k in range(index.shape[1]):
+        total += weights[index[:, k]]
+    return total + bias
+
+
 def observed(truth: np.ndarray, first: np.ndarray, transition: np.ndarray) -> np.ndarray:
     """Number of each transition under the labels; one into a first word is shared by the states before it."""
     before = np.roll(truth, 1)
@@ -217,12 +226,16 @@ def _marked(index: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, rate: flo
     of_toxic[group] = toxic
     first = np.zeros(len(toxic), bool)
     first[np.unique(group, return_index=True)[1]] = True
-    at = first[doc]
-    seen = np.unique(np.concatenate([group[doc[at]].astype(np.int64) * _SIZE + index[at, k] for k in range(index.shape[1])]))
-    of, feature = of_toxic[seen // _SIZE], seen % _SIZE
+    at, columns = first[doc], range(index.shape[1])
     n1, n = int(of_toxic.sum()), len(of_toxic)
-    k1 = np.bincount(feature[of], minlength=_SIZE)
-    every = k1 + np.bincount(feature[~of], minlength=_SIZE)
+    k1, every = np.zeros(_SIZE, np.int64), np.zeros(_SIZE, np.int64)
+    for some in np.array_split(np.flatnonzero(first), len(index) // _SLICE + 1):  # documents: a group has one that counts
+        if len(some):
+            part = slice(offsets[some[0]], offsets[some[-1] + 1])
+            own = doc[part][at[part]] * _SIZE
+            seen = np.unique(np.concatenate([own + index[part, k][at[part]] for k in columns]))
+            every += np.bincount(seen % _SIZE, minlength=_SIZE)
+            k1 += np.bincount(seen[toxic[seen // _SIZE]] % _SIZE, minlength=_SIZE)
     tested = np.flatnonzero(every >= 2)
     chance = np.ones(_SIZE)
     chance[tested] = _chance(k1[tested], every[tested], n1, n)
@@ -231,9 +244,12 @@ def _marked(index: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, rate: flo
     marks = np.zeros(_SIZE, bool)
     marks[order[: passed[-1] + 1 if len(passed) else 0]] = True
     words = toxic[doc[at]]
-    inside, outside = (np.bincount(index[at][w].ravel(), minlength=_SIZE) / max(int(w.sum()), 1) for w in (words, ~words))
+    inside, outside = (sum(np.bincount(index[at, k][w], minlength=_SIZE) for k in columns) / max(int(w.sum()), 1) for w in (words, ~words))
     marks &= inside >= purity * outside
-    return toxic[doc] & marks[index].any(axis=1)
+    marked = np.zeros(len(index), bool)
+    for k in columns:
+        marked |= marks[index[:, k]]
+    return toxic[doc] & marked
 
 
 def fit(index: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, epochs: int = 25, rate: float = 0.5, decay: float = 1e-4) -> dict[str, np.ndarray]:
@@ -250,7 +266,7 @@ def fit(index: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, epochs: int =
         sums, bias_sum, pair_sums = np.full(_SIZE, 1e-8), 1e-8, np.full((2, 2), 1e-8)
         bias = 0.0
         for _ in range(epochs):
-            p, expected = expectations(weights[index].sum(axis=1) + bias, offsets, transition)
+            p, expected = expectations(emissions(weights, bias, index), offsets, transition)
             g = sum(np.bincount(index[:, k], y - p, minlength=_SIZE) for k in range(index.shape[1])) - decay * weights
             sums += g * g
             weights += rate * g / np.sqrt(sums)
@@ -264,7 +280,7 @@ def fit(index: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, epochs: int =
     line = np.array([-2.0, 0.25, 0.0])
     if toxic.any() and not toxic.all():
         y = toxic.astype(float)
-        x = evidence(marginals(weights[index].sum(axis=1) + bias, offsets, transition), offsets)
+        x = evidence(marginals(emissions(weights, bias, index), offsets, transition), offsets)
         middle, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
         design = np.concatenate([np.ones((len(x), 1)), (x - middle) / spread], axis=1)
         line = np.zeros(3)
@@ -291,7 +307,9 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_train:
                 parts.append(features(words))
                 counts.append(np.diff(words.doc))
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, np.int64)
-        model = fit(np.concatenate(parts), offsets.astype(np.int64), np.array(toxic, bool))
+        index = np.concatenate(parts)
+        parts.clear()
+        model = fit(index, offsets.astype(np.int64), np.array(toxic, bool))
         yield pa.RecordBatch.from_arrays([pa.array([model[k].tobytes()], pa.binary()) for k in _PARTS], list(_PARTS))
 
     found = sample.mapInArrow(run, ", ".join(f"{k} binary" for k in _PARTS)).collect()  # one row of fixed size
@@ -332,7 +350,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], threshold: float = 0.5)
             scores, spans = [np.zeros(0)], [""] * batch.num_rows
             _, byte_offsets = W.string_buffers(batch.column(2))
             for first, words in W.documents(batch.column(2), lower=True):
-                p = marginals(m["weights"][features(words)].sum(axis=1) + m["bias"][0], words.doc, m["transition"])
+                p = marginals(emissions(m["weights"], m["bias"][0], features(words)), words.doc, m["transition"])
                 scores.append(document_scores(m, p, words.doc))
                 origin = byte_offsets[first]
                 for i, found in _runs(p, words).items():
@@ -354,7 +372,7 @@ def scorer(spark: SparkSession, model: dict[str, np.ndarray]):
     def toxicity(texts: pa.Array) -> pa.Array:
         m, scores = shared.value, [np.zeros(0)]
         for _, words in W.documents(texts, lower=True):
-            p = marginals(m["weights"][features(words)].sum(axis=1) + m["bias"][0], words.doc, m["transition"])
+            p = marginals(emissions(m["weights"], m["bias"][0], features(words)), words.doc, m["transition"])
             scores.append(document_scores(m, p, words.doc))
         return pa.array(np.concatenate(scores))
 
