@@ -9,20 +9,25 @@ from quillspark.operators.linkage import top
 from quillspark.operators.merge import first_wins, union_all
 
 
-def neighbourhood(seeds: DataFrame, related: DataFrame, edges: DataFrame, works: DataFrame, most: int = 20, each: int = 8, most_related: int = 10) -> DataFrame:
+def neighbourhood(seeds: DataFrame, related: DataFrame, edges: DataFrame, works: DataFrame, most: int = 20, each: int = 8, most_related: int = 10, parts: int | None = None) -> DataFrame:
     """(seed, node, relation, pos, cited): related works, references and citing works of each seed,
     each node once in that priority.
 
     related: seed, node. edges: src cites dst. works: node, cited. Each list is cut to its length
-    before it is joined to anything."""
+    before it is joined to anything. With parts, edges and lists lie in so many partitions by what they are joined or cut by."""
+
+    def dealt(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.repartition(parts, *by) if parts else rows
+
+    edges = dealt(edges, "src", "dst").distinct() if parts else edges
     cited = works.select(F.col("node"), "cited")
     order = (F.desc("cited"), F.asc("node"))
     lists = [
         top(related.join(cited, "node"), "seed", most_related, *order).withColumn("relation", F.lit("related")),
-        top(edges.select(F.col("src").alias("seed"), F.col("dst").alias("node")).join(cited, "node"), "seed", each, *order).withColumn("relation", F.lit("reference")),
-        top(edges.select(F.col("dst").alias("seed"), F.col("src").alias("node")).join(cited, "node"), "seed", each, *order).withColumn("relation", F.lit("cited-by")),
+        top(dealt(dealt(edges.select(F.col("src").alias("seed"), F.col("dst").alias("node")), "node").join(cited, "node"), "seed"), "seed", each, *order).withColumn("relation", F.lit("reference")),
+        top(dealt(dealt(edges.select(F.col("dst").alias("seed"), F.col("src").alias("node")), "node").join(cited, "node"), "seed"), "seed", each, *order).withColumn("relation", F.lit("cited-by")),
     ]
-    found = union_all(lists).where("seed <> node").join(seeds.select("seed"), "seed", "left_semi")
+    found = dealt(union_all(lists).where("seed <> node"), "seed").join(seeds.select("seed"), "seed", "left_semi")
     kept = first_wins(found, ["seed", "node"], F.asc("source_rank"), F.asc("rank"))
     placed = kept.withColumn("pos", F.row_number().over(Window.partitionBy("seed").orderBy("source_rank", "rank")))
     return placed.where(F.col("pos") <= most).select("seed", "node", "relation", "pos", "cited")

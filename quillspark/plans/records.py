@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import graph as G
 from quillspark.operators import merge as M
+from quillspark.operators import linkage as L
 from quillspark.operators.linkage import top
 from quillspark.operators.ranking import places
 from quillspark.operators.search import bm25
@@ -17,15 +18,23 @@ from quillspark.sources.staging import Stage
 
 
 def _pages(spark, d, k=12):
-    """Each customer's orders as two ranked lists: by price, and by date."""
+    """Each customer's orders as two ranked lists: by price, and by date; and in how many partitions they lie, in proportion
+    to the orders, so that what a task sorts doesn't grow with them."""
     o = S.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.col("o_orderdate").cast("date").alias("day"))
+    parts = L.parts_of(o, o.count(), L.SORTED_EACH)
+    o = o.repartition(parts, "o_custkey")
     by_price = top(o, "o_custkey", k, F.desc("o_totalprice"), F.asc("o_orderkey")).withColumnRenamed("rank", "pos")
     by_date = top(o, "o_custkey", k, F.desc("day"), F.asc("o_orderkey")).withColumnRenamed("rank", "pos")
-    return [by_price, by_date]
+    return [by_price, by_date], parts
+
+
+def _interleaved(spark, d):
+    lists, parts = _pages(spark, d)
+    return M.interleave(lists, "o_custkey", "o_orderkey", parts)
 
 
 def papers_interleave_dedupe(spark, d):
-    merged = M.interleave(_pages(spark, d), "o_custkey", "o_orderkey")
+    merged = _interleaved(spark, d)
     return merged.where("place <= 12").select("o_custkey", "o_orderkey", "place", "source_rank", F.year("day").alias("year"))
 
 
@@ -39,7 +48,7 @@ i AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY pos, source_r
 
 def papers_sort(spark, d):
     """The first page of each customer in all three orders."""
-    page = M.interleave(_pages(spark, d), "o_custkey", "o_orderkey").where("place <= 12").withColumn("cited", F.when(F.col("source_rank") == 0, F.floor("o_totalprice")).otherwise(0))
+    page = _interleaved(spark, d).where("place <= 12").withColumn("cited", F.when(F.col("source_rank") == 0, F.floor("o_totalprice")).otherwise(0))
     w = Window.partitionBy("o_custkey")
     ranks = {"by_cited": F.row_number().over(w.orderBy(F.desc("cited"), F.asc("place"))), "by_year": F.row_number().over(w.orderBy(F.desc(F.year("day")), F.asc("place")))}
     return page.withColumns(ranks).select("o_custkey", "o_orderkey", "place", "by_cited", "by_year")
@@ -188,13 +197,15 @@ def _neighbours(spark, d):
     and size are related."""
     works = S.table(spark, d, "part").select(F.col("p_partkey").alias("node"), "p_brand", "p_size", (F.floor(F.col("p_retailprice") * 100)).cast("long").alias("cited"))
     l = S.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    parts = L.parts_of(l, l.count(), L.SORTED_EACH)
+    l = l.repartition(parts, "l_orderkey")
     later = l.select("l_orderkey", F.col("l_partkey").alias("dst"), F.col("l_linenumber").alias("line"))
-    edges = l.join(later, "l_orderkey").where(F.col("l_linenumber") < F.col("line")).select(F.col("l_partkey").alias("src"), "dst").distinct()
+    edges = l.join(later, "l_orderkey").where(F.col("l_linenumber") < F.col("line")).select(F.col("l_partkey").alias("src"), "dst")
     # A group's best eleven hold the best ten others of each member.
     groups = works.withColumn("place", F.row_number().over(Window.partitionBy("p_brand", "p_size").orderBy(F.desc("cited"), F.asc("node")))).where("place <= 11")
     seeds = works.select(F.col("node").alias("seed"), "p_brand", "p_size")
     related = seeds.join(groups.select("node", "p_brand", "p_size"), ["p_brand", "p_size"]).where("seed <> node").select("seed", "node")
-    return G.neighbourhood(seeds, related, edges, works.select("node", "cited"))
+    return G.neighbourhood(seeds, related, edges, works.select("node", "cited"), parts=parts)
 
 
 _GRAPH = """
@@ -216,12 +227,11 @@ def graph_layout(spark, d):
 def edge_coordinates(spark, d):
     """Edges with both ends' coordinates: the seed's is fixed, the other's from the layout."""
     nodes = G.layout(_neighbours(spark, d))
-    edges = nodes.select("seed", "node", F.when(F.col("relation") == "cited-by", F.col("node")).otherwise(F.col("seed")).alias("src"), F.when(F.col("relation") == "cited-by", F.col("seed")).otherwise(F.col("node")).alias("dst"))
-    seeds = nodes.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.lit(500.0).alias("x"), F.lit(270.0).alias("y"))
-    points = nodes.select("seed", "node", "x", "y").unionByName(seeds)
-    a, b = (points.select("seed", F.col("node").alias(k), F.col("x").alias(f"x_{k}"), F.col("y").alias(f"y_{k}")) for k in ("src", "dst"))
-    out = edges.join(a, ["seed", "src"]).join(b, ["seed", "dst"])
-    return out.select("seed", "src", "dst", *[T.rounded(F.col(c)).alias(c) for c in ("x_src", "y_src", "x_dst", "y_dst")])
+    # An edge's other end is the node of its own row, so no point is looked up.
+    ends = [F.struct(F.col("seed").alias("n"), F.lit(500.0).alias("x"), F.lit(270.0).alias("y")), F.struct(F.col("node").alias("n"), "x", "y")]
+    citing = F.col("relation") == "cited-by"
+    rows = nodes.select("seed", F.when(citing, ends[1]).otherwise(ends[0]).alias("a"), F.when(citing, ends[0]).otherwise(ends[1]).alias("b"))
+    return rows.select("seed", F.col("a.n").alias("src"), F.col("b.n").alias("dst"), *[T.rounded(F.col(f"{e}.{c}")).alias(f"{c}_{name}") for e, name in (("a", "src"), ("b", "dst")) for c in "xy"])
 
 
 _LAYOUT = """
