@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import strip
+from quillspark.functions.text import let, strip
 
 #: Evidence tags and what a text of each kind says, in order.
 EVIDENCE = (
@@ -71,11 +71,13 @@ def strip_markup(text: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"\s+", " ")
     for name, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
         out = F.replace(out, F.lit(name), F.lit(char))
-    runs = F.regexp_extract_all(out, F.lit(r"&#x[0-9a-fA-F]{1,6};|&#\d{1,7};|[^&]+|&"), F.lit(0))
+    runs = lambda x: F.regexp_extract_all(x, F.lit(r"&#x[0-9a-fA-F]{1,6};|&#\d{1,7};|[^&]+|&"), F.lit(0))
 
     def decode(r: Column) -> Column:
         code = F.when(r.rlike("^&#x"), F.conv(r.substr(F.lit(4), F.length(r) - 4), 16, 10)).otherwise(F.regexp_extract(r, r"^&#(\d+);$", 1))
-        known = r.rlike(r"^&#x[0-9a-fA-F]+;$|^&#\d+;$") & (code.cast("int") <= 0x10FFFF)
+        # A pattern is tried at each place of a run, and runs are as long as texts.
+        known = r.startswith("&#") & r.rlike(r"^&#x[0-9a-fA-F]+;$|^&#\d+;$") & (code.cast("int") <= 0x10FFFF)
         return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code.cast("int")), 8, "0")), "UTF-32")).otherwise(r)
 
-    return strip(F.array_join(F.transform(runs, decode), ""))
+    # Few texts have numeric references; only those are taken apart.
+    return strip(let(out, lambda x: F.when(F.contains(x, F.lit("&#")), F.array_join(F.transform(runs(x), decode), "")).otherwise(x)))
