@@ -34,9 +34,10 @@ _TYPES = dict(zip(_COLUMNS, ("string", "string", "int", "string", "bigint", *["s
 def _sources(spark, d):
     """Documents as records of a library, a registry and a medical index."""
     docs = S.table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", T.first_line(F.col("text")).alias("t"), F.substring(T.squeeze(F.col("text")), 1, 900).alias("a"), F.col("doc_id").cast("string").alias("n"), (10000000 + F.col("doc_id")).cast("string").alias("m"))
-    parts = [docs.where(held).selectExpr(f"inline(array(struct('{kind}', {_VALUES[kind]}, {fields})))").toDF(*_COLUMNS) for kind, held, fields in _SOURCES]
-    cast = [p.select(*[F.col(c).cast(t).alias(c) for c, t in _TYPES.items()]) for p in parts]
-    return cast[0].unionByName(cast[1]).unionByName(cast[2])
+    # A document's records are made in one pass, so that its text is read once.
+    record = "struct<" + ", ".join(f"{c}: {t}" for c, t in _TYPES.items()) + ">"
+    parts = ", ".join(f"case when {held} then cast(struct('{kind}', {_VALUES[kind]}, {fields}) as {record}) end" for kind, held, fields in _SOURCES)
+    return docs.selectExpr(f"inline(array({parts}))").where("kind is not null")
 
 
 def _marked(segments):
