@@ -67,8 +67,8 @@ def similarity(na: str, nb: str, f1: str, strict: bool = False, lost: str = "fal
     return f"CASE WHEN {na} = '' OR {nb} = '' THEN 0.0 WHEN {na} = {nb} THEN 1.0 {near} ELSE {f1} END"
 
 
-def sentences(x: str, most: int = 10) -> str:
-    """List of sentences; chr(1) marks where the text is to be cut."""
+def sentences(x: str, most: int = 10, every: bool = False) -> str:
+    """List of sentences; chr(1) marks where the text is to be cut. With every, all of them, in full."""
     blocks = f"list_filter(list_transform(regexp_split_to_array({strip(f'replace(coalesce({x}, {chr(39)*2}), chr(13) || chr(10), chr(10))')}, '\\n+'), lambda b: {strip('b')}), lambda b: b <> '')"
     cut = f"string_split(regexp_replace(regexp_replace(b, '([.。!！?？]){SPACE}+', '\\1' || chr(1), 'g'), '([。！？])', '\\1' || chr(1), 'g'), chr(1))"
     parts = f"list_filter(list_transform({cut}, lambda s: {strip('s')}), lambda s: length(s) >= 8)"
@@ -77,6 +77,9 @@ def sentences(x: str, most: int = 10) -> str:
     words = f"list_transform(regexp_split_to_array(r[1], '{SPACE}+'), lambda w: [w])"
     chunks = f"list_reduce({words}, lambda acc, y: CASE WHEN length(acc[-1]) + 1 + length(y[1]) > 180 THEN list_concat(acc, y) ELSE list_concat(acc[:-2], [acc[-1] || ' ' || y[1]]) END)"
     whole = f"list_transform([{raw}], lambda r: CASE WHEN len(r) = 1 AND length(r[1]) > 320 THEN {chunks} ELSE r END)[1]"
+    if every:
+        named = f"list_filter(list_transform({whole}, lambda s: {{'s': {squeeze('s')}, 'n': {norm('s')}}}), lambda s: length(s.n) >= 6)"
+        return f"list_transform([{named}], lambda k: list_transform(list_filter(k, lambda s, i: list_position(list_transform(k, lambda t: t.n), s.n) = i), lambda s: s.s))[1]"
     clipped = f"list_transform({whole}, lambda s: substr({squeeze('s')}, 1, 500))"
     key = f"substr({norm('s')}, 1, 96)"
     known = f"list_filter({clipped}, lambda s: length({key}) >= 6)"
