@@ -18,7 +18,7 @@ def without_identifiers(line: Column) -> Column:
     return T.squeeze(line)
 
 
-def likely_title(line: Column, most: int = 220) -> Column:
+def likely_title(line: Column, most: int | None = 220) -> Column:
     """What stands between "(year)." and the next full stop, if that is longer than twelve characters;
     otherwise the first of several sentences that is longer than twenty, names no "et al", and begins with
     neither a year nor a family name with initials; otherwise the line."""
@@ -29,6 +29,7 @@ def likely_title(line: Column, most: int = 220) -> Column:
         parts = F.filter(F.transform(F.split(clean, "[.。]"), T.strip), lambda p: p != "")
         good = F.filter(parts, lambda p: (F.length(p) > 20) & ~p.rlike(r"(?i)(?<![A-Za-z0-9_])et\s+al(?![A-Za-z0-9_])") & ~p.rlike(r"^[A-Z][a-z]+\s+[A-Z]{1,3}(\s*,|$)") & ~p.rlike("^(19|20)[0-9]{2}"))
         one = F.when(F.size(parts) >= 2, F.get(good, F.lit(0)))
-        return F.substring(F.when(F.length(dated) > 12, dated).otherwise(F.coalesce(one, clean)), 1, most)
+        title = F.when(F.length(dated) > 12, dated).otherwise(F.coalesce(one, clean))
+        return F.substring(title, 1, most) if most else title
 
     return T.let(without_identifiers(F.coalesce(line, F.lit(""))), pick)
